@@ -122,9 +122,12 @@ def token_byte_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
 
 def _decoded(words: DataFrame, table: DataFrame) -> DataFrame:
     """(word, token_ids, decoded): joins each id of a word with its bytes, in order."""
-    ids = words.select("word", "token_ids", F.posexplode("tokens").alias("at", "token"))
-    parts = ids.join(F.broadcast(table), "token").groupBy("word").agg(F.first("token_ids").alias("token_ids"), F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("p"))
-    joined = F.aggregate(F.col("p.bytes"), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
+    rows = words.select(F.unhex(F.md5("word")).alias("key"), "word", "token_ids", F.posexplode("tokens").alias("at", "token"))
+    # only a word's first row carries the word, which may be long; the others its key
+    first = F.col("at") == 0
+    rows = rows.select("key", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("token_ids")).alias("token_ids"), "at", "token")
+    parts = rows.join(F.broadcast(table), "token").groupBy("key").agg(F.max("word").alias("word"), F.max("token_ids").alias("token_ids"), F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("p"))
+    joined = F.unhex(F.array_join(F.transform("p.bytes", F.hex), ""))  # in time linear in a word's length
     return parts.select("word", "token_ids", joined.alias("decoded"))
 
 

@@ -143,13 +143,17 @@ def _keys(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id, F.lit(0)).alias("id0"), F.xxhash64(doc_id.isNull(), text).alias("h")]
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term: a row for each row of ``docs``."""
     found, terms = find(docs, id_col, text_col)
     distinct = terms.dropDuplicates(["id0", "h"])
     rows = found.select("doc_id", "id0", "h", "spans").join(distinct, ["id0", "h"], "left")
     added = F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
+    counts = [_count(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
     return rows.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.concat("spans", added)).alias("all_spans"), F.size(added).cast("long").alias("n_term")).withColumnRenamed("all_spans", "spans")
 
 
