@@ -1 +1,11 @@
-"""colloquy: DataFrame operators for archives of timed, speaker-attributed text."""
+"""colloquy: DataFrame operators for archives of timed, speaker-attributed text.
+
+Functions of this package that run on executors travel by value, so that workers
+need not have the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
