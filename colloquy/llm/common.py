@@ -7,6 +7,9 @@ driver and executors); a local folder is used only where that setting is unset
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +56,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """A table that joins on ``key`` without being shuffled again: written by buckets, as many as there are shuffle partitions."""
+        self.n += 1
+        name, n = f"scratch_{uuid.uuid4().hex}", max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df.write.option("compression", "zstd").option("path", f"{self.path}/{self.n:02d}-{name}").bucketBy(n, key).sortBy(key).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
@@ -68,11 +78,27 @@ def map_batches(df: DataFrame, fn: Callable, schema: str, *args) -> DataFrame:
     """``mapInArrow`` with ``fn(batches, *args)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(batches, *args)
+        return trimmed(fn(batches, *args))
 
     return df.mapInArrow(run, schema)
 
 
+def trimmed(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``out`` gives; then the worker, which stays for other tasks, hands freed memory back."""
+    try:
+        yield from out
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Hands memory that this process has freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunked(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "__text") -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` holds about ``most_bytes`` at most (one long row may exceed it)."""
     for b in batches:
@@ -95,7 +121,7 @@ def _lengths(column: pa.Array) -> bytes:
 class WordHash(dict):
     """word bytes -> 64-bit hash, computed once a word; bounded, as it starts anew when full."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

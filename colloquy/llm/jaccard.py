@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, binary_text, chunked, map_batches, mix64, ngram_hashes, small
+from .common import Scratch, WordHash, binary_text, chunked, map_batches, mix64, ngram_hashes, small, trimmed
 from .components import components
 
 #: Words of a shingle; a link needs NUM / DEN of the union.
@@ -56,7 +56,7 @@ def _digest(s: np.ndarray) -> bytes:
 def _first(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Sizes and digests; and, a row a block, tokens that two or more different sets of the block have."""
     hashes = WordHash()
-    for b in chunked(batches, 16 << 20):
+    for b in chunked(batches, 8 << 20):
         seen, sizes, digests = {}, [], []
         for t in b.column(1):
             s = shingles(t.as_py() or b"", hashes, n)
@@ -97,7 +97,7 @@ class Order:
 def _second(batches: Iterator[pa.RecordBatch], n: int, order: Order, keys: int) -> Iterator[pa.RecordBatch]:
     """Of each set that is new to its block: size, how many frequent tokens, min-hash keys, prefix."""
     hashes = WordHash()
-    for b in chunked(batches, 16 << 20):
+    for b in chunked(batches, 8 << 20):
         seen, cols = set(), ([], [], [], [], [])
         for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             s = shingles(t.as_py() or b"", hashes, n)
@@ -185,10 +185,10 @@ def link_classes(texts: DataFrame, scratch: Scratch, n: int = SHINGLE, keys: int
     counts = first.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select("x.tokens", "x.counts").groupBy("tokens").agg(F.sum("counts").alias("c"))
     # the order's table: ``frequent`` numbers at most, whatever the input
     top = [r.tokens for r in counts.where("c > 15").orderBy(F.col("c").desc(), "tokens").limit(frequent).collect()][::-1]
-    held = texts.sparkSession.sparkContext.broadcast(Order(top))
+    held = texts.sparkSession.sparkContext.broadcast(top)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _second(batches, n, held.value, keys)
+        return trimmed(_second(batches, n, Order(held.value), keys))
 
     rows = texts.mapInArrow(second, "doc long, n long, frequent long, keys array<long>, prefix array<long>")
     sig = scratch.table(rows.join(reps.where("rep is not null").select(F.col("rep").alias("doc"), "n").distinct(), ["doc", "n"], "left_semi"), "signatures")
@@ -205,10 +205,10 @@ def link_classes(texts: DataFrame, scratch: Scratch, n: int = SHINGLE, keys: int
     comps = _joined(stars, verifier.links(witnesses), scratch)
     # groups with several members that one witness a token did not link are opened in full, unless they came together otherwise
     now = comps.select(F.col("node"), F.col("comp").alias("now"))
-    left = opened.where(several).select("comp_a", "comp_b")
+    left = opened.where(several).select("comp_a", "comp_b", "members_a", "members_b")
     for side in ("a", "b"):
         left = left.join(now.select(F.col("node").alias(f"comp_{side}"), F.col("now").alias(f"now_{side}")), f"comp_{side}", "left")
-    left = scratch.table(left.where(F.coalesce("now_a", "comp_a") != F.coalesce("now_b", "comp_b")).select("comp_a", "comp_b"), "left")
+    left = scratch.table(left.where(F.coalesce("now_a", "comp_a") != F.coalesce("now_b", "comp_b")).select("comp_a", "comp_b", "members_a", "members_b"), "left")
     if not left.isEmpty():
         comps = _joined(comps, verifier.links(_members(base, matrix, left)), scratch)
     return meta, reps, comps
@@ -243,14 +243,29 @@ def _qualifying(matrix: DataFrame) -> DataFrame:
 
 
 def _members(base: DataFrame, matrix: DataFrame, left: DataFrame) -> DataFrame:
-    """Pairs of members (a, b) of the pairs of groups ``left`` that the bound on their own prefixes leaves."""
-    inside = left.select(F.col("comp_a").alias("comp")).unionByName(left.select(F.col("comp_b").alias("comp"))).distinct()
-    member = base.withColumn("comp", F.coalesce("comp", "doc")).join(inside, "comp", "left_semi").select("comp", "doc", "n", F.explode("prefix").alias("token"))
+    """Pairs of members (a, b) of the pairs of groups ``left`` that the bounds on their own prefixes leave.
+
+    For two sizes the overlap o that a link needs is known, so two sets that link
+    share a token among the first n - o + 1 of each, which are fewer than the
+    whole prefixes: in an order with common tokens last, near copies hardly meet
+    by what they all have. The smaller group's tokens look for the larger's.
+    """
+    fewer = F.col("members_a") <= F.col("members_b")
+    sides = left.select(F.when(fewer, F.col("comp_a")).otherwise(F.col("comp_b")).alias("gx"), F.when(fewer, F.col("comp_b")).otherwise(F.col("comp_a")).alias("gy"))
+    inside = sides.select(F.col("gx").alias("comp")).unionByName(sides.select(F.col("gy").alias("comp"))).distinct()
+    own = base.withColumn("comp", F.coalesce("comp", "doc")).join(inside, "comp", "left_semi")
+    member = own.select("comp", "doc", "n", F.posexplode("prefix").alias("pos", "token"))
     near = member.join(matrix.join(inside, "comp", "left_semi").select("token").distinct(), "token", "left_semi")
-    x = left.join(near.select(F.col("comp").alias("comp_a"), F.col("doc").alias("a"), F.col("n").alias("n_a"), "token"), "comp_a")
-    pairs = x.join(near.select(F.col("comp").alias("comp_b"), F.col("doc").alias("b"), F.col("n").alias("n_b"), "token"), ["comp_b", "token"])
-    pairs = pairs.where(_fits(F.col("n_a"), F.col("n_b"))).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    return pairs.where(F.col("c") >= _needed(F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b")))
+    x = near.select(F.col("comp").alias("gx"), F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "token")
+    y = near.select(F.col("comp").alias("gy"), F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), "token")
+    met = sides.join(x, "gx").join(y, ["gy", "token"]).where(_fits(F.col("n_a"), F.col("n_b")) & _tight())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _tight() -> Column:
+    """Whether a token that two sets share stands early enough in both to be the first they share if they link."""
+    o = F.ceil(NUM * (F.col("n_a") + F.col("n_b")) / F.lit(NUM + DEN))
+    return (F.col("pos_a") <= F.col("n_a") - o) & (F.col("pos_b") <= F.col("n_b") - o)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
