@@ -89,8 +89,8 @@ def contiguous_moments(spark, sf):
 
 
 @query("""WITH RECURSIVE s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 AND c_custkey > 0 THEN c_custkey // 10 END AS merged_into FROM customer
-), f AS (SELECT id, coalesce(merged_into, id) AS at, 0 AS k FROM s UNION ALL SELECT f.id, s.merged_into, k + 1 FROM f JOIN s ON s.id = f.at WHERE s.merged_into IS NOT NULL)
-SELECT id, min(at) AS canonical_id FROM f GROUP BY id""")
+), f AS (SELECT id, coalesce(merged_into, id) AS goal, 0 AS k FROM s UNION ALL SELECT f.id, s.merged_into, k + 1 FROM f JOIN s ON s.id = f.goal WHERE s.merged_into IS NOT NULL)
+SELECT id, min(goal) AS canonical_id FROM f GROUP BY id""")
 def tombstone_resolve(spark, sf):
     """Chains of merges followed to their end."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when((F.col("c_custkey") % 10 == 0) & (F.col("c_custkey") > 0), F.expr("c_custkey div 10")).alias("merged_into"))

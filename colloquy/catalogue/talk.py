@@ -125,11 +125,11 @@ def graph_summary(spark, sf):
     return rollups.graph_summary(t.withColumns({"enriched_ns": F.when(F.col("conv_id") % 4 == 0, 1), "topic": F.when(F.col("conv_id") % 3 == 0, "t")}))
 
 
-@query("""WITH g AS (SELECT date_trunc('hour', ts) AS hour, CASE event_type WHEN 'error' THEN 'unknown' ELSE event_type END AS cause, CAST(round(value * 100) AS BIGINT) AS gap_ms FROM events
+@query("""WITH g AS (SELECT date_trunc('hour', ts) AS hour, CASE event_type WHEN 'error' THEN 'unexplained' ELSE event_type END AS cause, CAST(round(value * 100) AS BIGINT) AS gap_ms FROM events
 ), p AS (SELECT hour, cause, count(*) AS n, sum(gap_ms)::BIGINT AS gap_ms FROM g GROUP BY ALL)
-SELECT epoch_us(hour) AS hour_us, cause, n, gap_ms, round(sum(CASE WHEN cause = 'unknown' THEN n ELSE 0 END) OVER (PARTITION BY hour) / sum(n) OVER (PARTITION BY hour), 6) AS unexplained_share FROM p""")
+SELECT epoch_us(hour) AS hour_us, cause, n, gap_ms, round(sum(CASE WHEN cause = 'unexplained' THEN n ELSE 0 END) OVER (PARTITION BY hour) / sum(n) OVER (PARTITION BY hour), 6) AS unexplained_share FROM p""")
 def gap_health_hourly(spark, sf):
-    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", "unknown").otherwise(F.col("event_type")).alias("cause"), F.round(F.col("value") * 100).cast("long").alias("gap_ms"))
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", "unexplained").otherwise(F.col("event_type")).alias("cause"), F.round(F.col("value") * 100).cast("long").alias("gap_ms"))
     return rollups.gap_health(e).select(F.unix_micros("hour").alias("hour_us"), "cause", "n", "gap_ms", r6("unexplained_share").alias("unexplained_share"))
 
 

@@ -18,7 +18,7 @@ def _list(words) -> str:
 
 
 @query(rf"""WITH c AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM documents
-), t AS (SELECT id, len(list_filter(w, x -> x = 'of')) AS a, len(list_filter(w, x -> x = 'with')) AS b FROM c
+), t AS (SELECT id, len(list_filter(w, lambda x: x = 'of')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b FROM c
 ), n AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t
 ), h AS (SELECT id, round(a * ln(1 + n / da) + b * ln(1 + n / db), 9) AS score FROM t, n WHERE a > 0 AND b > 0)
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank, count(*) OVER () AS total FROM h QUALIFY rank <= 50""")
@@ -28,12 +28,12 @@ def keyword_search(spark, sf):
     return retrieval.keyword_search(d, "with of", 50)
 
 
-@query(rf"""WITH s AS (SELECT item_id AS id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '{_WORDS}'), x -> length(x) BETWEEN 4 AND 96 AND x NOT IN ({_list(retrieval.COMMON)})))) AS w FROM benchmark
+@query(rf"""WITH s AS (SELECT item_id AS id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '{_WORDS}'), lambda x: length(x) BETWEEN 4 AND 96 AND x NOT IN ({_list(retrieval.COMMON)})))) AS w FROM benchmark
 ), t AS (SELECT id, unnest(w) AS term FROM s), q AS (SELECT id, unnest(w[1:24]) AS term FROM s
 ), h AS (SELECT q.id, t.id AS other, count(*) AS m FROM q JOIN t USING (term) WHERE q.id <> t.id GROUP BY ALL
 ), k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY m DESC, other DESC) <= 200
-), j AS (SELECT k.id, other, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) AS both FROM k JOIN s a ON a.id = k.id JOIN s b ON b.id = other
-), c AS (SELECT id, other, shared::INT AS shared, shared / (both - shared) AS score FROM j WHERE shared >= 2)
+), j AS (SELECT k.id, other, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) AS total FROM k JOIN s a ON a.id = k.id JOIN s b ON b.id = other
+), c AS (SELECT id, other, shared::INT AS shared, shared / (total - shared) AS score FROM j WHERE shared >= 2)
 SELECT id, other, shared, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other DESC)::INT AS place FROM c QUALIFY place <= 5""")
 def related_jaccard(spark, sf):
     """Passages that share words, by Jaccard index."""
@@ -42,14 +42,14 @@ def related_jaccard(spark, sf):
 
 
 @query(rf"""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM documents
-), v AS (SELECT doc_id, t, len(w) AS n, len(list_filter(w, x -> x IN ({_list(T.GERMAN)}))) AS de, len(list_filter(w, x -> x IN ({_list(T.ENGLISH)}))) AS en FROM w)
+), v AS (SELECT doc_id, t, len(w) AS n, len(list_filter(w, lambda x: x IN ({_list(T.GERMAN)}))) AS de, len(list_filter(w, lambda x: x IN ({_list(T.ENGLISH)}))) AS en FROM w)
 SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN regexp_matches(t, '[äöüß]') OR de > en THEN 'de' WHEN en > de THEN 'en' ELSE 'unclear' END AS vote FROM v""")
 def language_vote(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.language_vote(F.col("text")).alias("vote"))
 
 
 @query(rf"""WITH l AS (SELECT doc_id, lower(text) AS t FROM documents
-), h AS (SELECT doc_id, t, list_filter([CASE WHEN regexp_matches(t, '[ýčěřšůž]') THEN 'cs' END, CASE WHEN regexp_matches(t, '[ñ]') THEN 'es' END, CASE WHEN regexp_matches(t, '[ąćęłńśż]') THEN 'pl' END, CASE WHEN regexp_matches(t, '[ãõ]') THEN 'pt' END, CASE WHEN regexp_matches(t, '[ğış]') THEN 'tr' END], x -> x IS NOT NULL) AS k FROM l)
+), h AS (SELECT doc_id, t, list_filter([CASE WHEN regexp_matches(t, '[ýčěřšůž]') THEN 'cs' END, CASE WHEN regexp_matches(t, '[ñ]') THEN 'es' END, CASE WHEN regexp_matches(t, '[ąćęłńśż]') THEN 'pl' END, CASE WHEN regexp_matches(t, '[ãõ]') THEN 'pt' END, CASE WHEN regexp_matches(t, '[ğış]') THEN 'tr' END], lambda x: x IS NOT NULL) AS k FROM l)
 SELECT doc_id, CASE WHEN len(k) = 1 AND len(regexp_extract_all(t, '{_WORDS}')) >= 2 THEN k[1] END AS tag FROM h""")
 def other_language(spark, sf):
     """Languages that a script or a letter gives away."""
@@ -97,7 +97,7 @@ def split_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.split_words(F.col("text"))).alias("n_words"))
 
 
-@query(rf"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '{_WORDS}'), x -> x NOT IN ({_list(T.FILLERS)})))::INT AS n FROM documents""")
+@query(rf"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '{_WORDS}'), lambda x: x NOT IN ({_list(T.FILLERS)})))::INT AS n FROM documents""")
 def content_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.content_words(F.col("text"))).alias("n"))
 

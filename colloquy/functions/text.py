@@ -163,7 +163,7 @@ def clean_terms(terms: Column) -> Column:
 
 def effective_terms(user: Column, *automatic: Column, cap: int = 100) -> Column:
     """Terms in order of priority, once each whatever their case (the first spelling stays), ``cap`` at most."""
-    every = F.filter(F.transform(F.concat(user, *automatic), F.trim), lambda t: t != "")
+    every = F.filter(F.transform(F.concat(user, *automatic), lambda t: F.trim(t)), lambda t: t != "")
     low = F.transform(every, F.lower)
     return F.slice(F.filter(every, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), 1, cap)
 

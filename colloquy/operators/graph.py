@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ def commitments(turns: DataFrame, tz: str = "UTC") -> DataFrame:
 
 def notes(turns: DataFrame, tz: str = "UTC") -> DataFrame:
     """(segment_id, text, due_ns) of notes to self that microphone turns open with a wake phrase."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def due(text: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series([timerefs.reminder_due(t, int(a), tz) for t, a in zip(text, at, strict=True)], dtype="Int64")

@@ -10,7 +10,7 @@ from ..core import NS, ratio
 from .talk import speech
 
 MOOD_MIN_ROWS, LAUGHS_SHARE, PRUNE_MAX_SEGMENTS, PRUNE_MAX_S = 30, 0.05, 1, 3.0
-GAP_CAUSES = ("restart", "paused", "overrun", "source_lost", "suspend", "unknown")
+GAP_CAUSES = ("flap", "queue_overflow", "scheduler_starvation", "pipewire_xrun", "session_end", "unexplained")
 
 
 def person_totals(turns: DataFrame) -> DataFrame:
@@ -60,17 +60,24 @@ def graph_summary(threads: DataFrame) -> DataFrame:
     return threads.agg(F.count(F.lit(1)).alias("threads"), F.count_if(F.col("topic").isNotNull()).alias("with_topic"), F.count_if(~todo).alias("enriched"), F.count_if(todo & ~short).alias("waiting"), F.count_if(todo & short).alias("too_short"), F.count_if(todo).alias("pending"))
 
 
-def gap_health(gaps: DataFrame, unexplained: str = "unknown") -> DataFrame:
+def gap_health(gaps: DataFrame, unexplained: str = "unexplained") -> DataFrame:
     """hour, cause, n, gap_ms, unexplained_share (of the hour's gaps)."""
     per = gaps.groupBy(F.date_trunc("hour", F.col("at")).alias("hour"), "cause").agg(F.count(F.lit(1)).alias("n"), F.sum("gap_ms").alias("gap_ms"))
     hour = W.partitionBy("hour")
     return per.withColumn("unexplained_share", ratio(F.sum(F.when(F.col("cause") == unexplained, F.col("n")).otherwise(0)).over(hour), F.sum("n").over(hour)))
 
 
-def classify_gap(paused: Column, restarted: Column, suspended: Column, source_lost: Column, dropped: Column) -> Column:
-    """The cause of a gap from its evidence, the strongest first."""
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    return F.when(yes(paused), "paused").when(yes(restarted), "restart").when(yes(suspended), "suspend").when(yes(source_lost), "source_lost").when(F.coalesce(dropped, F.lit(0)) > 0, "overrun").otherwise("unknown")
+def classify_gap(flapped: Column, evicted: Column, xruns: Column, silent_ms: Column, stalled_ms: Column, min_silence_ms: int = 500) -> Column:
+    """The cause of a gap from its evidence: a reconnect; buffers evicted since the last chunk; the graph's own count; silence before the end; a stall without eviction."""
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    return (
+        F.when(F.coalesce(flapped, F.lit(False)), "flap")
+        .when(some(evicted), "queue_overflow")
+        .when(some(xruns), "pipewire_xrun")
+        .when(F.coalesce(silent_ms, F.lit(0)) >= min_silence_ms, "session_end")
+        .when(some(stalled_ms), "scheduler_starvation")
+        .otherwise("unexplained")
+    )
 
 
 def speaker_source_matrix(turns: DataFrame, sources: list[str] | None = None) -> DataFrame:

@@ -73,12 +73,12 @@ def candidates(turns: DataFrame, facets: SegmentFilter | None, dead: DataFrame |
 
 
 def transcript_page(turns: DataFrame, limit: int, from_ns: int | None = None, to_ns: int | None = None, session: int | None = None) -> DataFrame:
-    """At most ``limit`` turns, ascending: the newest before ``to_ns`` if that alone bounds them, else the first.
+    """At most ``limit`` turns, ascending: the first from ``from_ns`` or of a session, else the newest (before ``to_ns``).
 
     Only a page leaves the sort: both forms are a bounded top-k.
     """
     rows = segment_filter(turns, SegmentFilter(session=session, from_ns=from_ns, to_ns=to_ns))
-    newest = to_ns is not None and from_ns is None and session is None
+    newest = from_ns is None and session is None
     order = [F.col("t_start_ns").desc(), F.col("id").desc()] if newest else [F.col("t_start_ns"), F.col("id")]
     return rows.orderBy(*order).limit(clamp(limit, 200, 10_000)).orderBy("t_start_ns", "id")
 

@@ -17,8 +17,10 @@ CORRUPT = "_corrupt_record"
 
 def ndjson(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) lines of a folder of JSON lines: one bad line never takes others along."""
-    rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("r", parsed)
+    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    return rows.where(~bad).select("r.*").drop(CORRUPT), rows.where(bad).select(F.col("value").alias("line"))
 
 
 def local_to_ns(stamp: Column, tz: str = "UTC", pattern: str = "yyyy.MM.dd HH:mm:ss") -> Column:

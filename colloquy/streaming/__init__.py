@@ -33,14 +33,18 @@ def latest_versions(rows: DataFrame, key: str = "id", version: str = "revision")
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, "r.*")
 
 
+def _timeout(wanted: bool) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if wanted else GroupStateTimeout.NoTimeout
+
+
 _SPAN = "key string, start bigint, end bigint, voiced_start bigint, voiced_end bigint"
 
 
-def merge_stream(spans: DataFrame, gap: int, longest: int, idle_ms: int = 60_000) -> DataFrame:
+def merge_stream(spans: DataFrame, gap: int, longest: int, idle_ms: int | None = 60_000) -> DataFrame:
     """Turn merging over a stream of spans (key, start, end, voiced_start, voiced_end), a state of one open turn a key.
 
     An open turn is given out when a span that cannot join it comes, or when
-    nothing has come for ``idle_ms``. Spans of one micro-batch are taken in order.
+    nothing has come for ``idle_ms`` (None: never, as a drained backlog wants it). Spans of one micro-batch are taken in order.
     """
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,11 +56,12 @@ def merge_stream(spans: DataFrame, gap: int, longest: int, idle_ms: int = 60_000
         rows = pd.concat(list(pdfs)).sort_values(["voiced_start", "voiced_end"])[["start", "end", "voiced_start", "voiced_end"]].to_dict("records")
         *closed, last = _merged([*([held] if held else []), *rows], gap, longest)
         state.update(tuple(int(last[k]) for k in ("start", "end", "voiced_start", "voiced_end")))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if closed:
             yield pd.DataFrame([{"key": key[0], **c} for c in closed])
 
-    return spans.groupBy("key").applyInPandasWithState(run, _SPAN, "start long, end long, voiced_start long, voiced_end long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return spans.groupBy("key").applyInPandasWithState(run, _SPAN, "start long, end long, voiced_start long, voiced_end long", "append", _timeout(idle_ms is not None))
 
 
 def _merged(rows: list[dict], gap: int, longest: int) -> list[dict]:
@@ -65,7 +70,7 @@ def _merged(rows: list[dict], gap: int, longest: int) -> list[dict]:
     return list(merge_turns(rows, gap, longest))
 
 
-def voice_stream(frames: DataFrame, idle_ms: int = 60_000, **limits) -> DataFrame:
+def voice_stream(frames: DataFrame, idle_ms: int | None = 60_000, **limits) -> DataFrame:
     """Voice activity over a stream of frames (key, at, length, prob): the segmenter's state a key; a stream that falls silent is flushed."""
     names = ["speaking", "start", "voiced_end", "cursor"]
 
@@ -78,14 +83,15 @@ def voice_stream(frames: DataFrame, idle_ms: int = 60_000, **limits) -> DataFram
             out = [s for r in pd.concat(list(pdfs)).sort_values("at").itertuples() for s in seg.push(r.prob, int(r.at), int(r.length))]
             now = asdict(seg)
             state.update(tuple(now[n] for n in names))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame([{"key": key[0], **s} for s in out])[["key", "start", "end", "voiced_start", "voiced_end"]]
 
-    return frames.groupBy("key").applyInPandasWithState(run, _SPAN, "speaking boolean, start long, voiced_end long, cursor long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("key").applyInPandasWithState(run, _SPAN, "speaking boolean, start long, voiced_end long, cursor long", "append", _timeout(idle_ms is not None))
 
 
-def span_stream(edges: DataFrame, open_ms: int = 30_000) -> DataFrame:
+def span_stream(edges: DataFrame, open_ms: int = 30_000, timeout: bool = True) -> DataFrame:
     """Speaking spans of a stream of edges (key, at_ns, edge): a start without an end closes after ``open_ms`` of its own time."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -106,11 +112,12 @@ def span_stream(edges: DataFrame, open_ms: int = 30_000) -> DataFrame:
                     state.remove()
             else:
                 state.update((open_at,))
-                state.setTimeoutDuration(open_ms)
+                if timeout:
+                    state.setTimeoutDuration(open_ms)
         if out:
             yield pd.DataFrame(out, columns=["t_start_ns", "t_end_ns", "closed"]).assign(key=key[0])[["key", "t_start_ns", "t_end_ns", "closed"]]
 
-    return edges.groupBy("key").applyInPandasWithState(run, "key string, t_start_ns long, t_end_ns long, closed boolean", "open_ns long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return edges.groupBy("key").applyInPandasWithState(run, "key string, t_start_ns long, t_end_ns long, closed boolean", "open_ns long", "append", _timeout(timeout))
 
 
 def suppress_duplicates(mic: DataFrame, app: DataFrame, late: str = "1 minute", skew: str = "2 seconds") -> DataFrame:
