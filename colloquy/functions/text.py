@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -245,10 +249,68 @@ def night_vote(night: Column, live: Column, canary: Column, tau: float, row_lang
     return F.when(empty, "nothing").when(may & guards, "replace").otherwise("annotate")
 
 
-def fold_marks(text: Column) -> Column:
-    """Lower case without combining marks, for find-in-page; see ``fold_marks_udf`` for letters beyond these."""
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", plain)
+def find_in_text(text: Column, query: str) -> Column:
+    """array<struct<start, end>> of a literal query in a text, whatever the case and marks of either: in code points, on grapheme boundaries."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: [{"start": a, "end": b} for a, b in literal_matches(x or "", query)])
+
+    return run(text)
+
+
+def _folded(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.category(c).startswith("M")).lower()
+
+
+def literal_matches(text: str, query: str) -> list[tuple[int, int]]:
+    needle = _folded(query.strip())
+    if not needle:
+        return []
+    folded, owner = [], []
+    for m in regex.finditer(r"\X", text):
+        part = _folded(m.group())
+        folded.append(part)
+        owner += [m.span()] * len(part)
+    whole, at, out = "".join(folded), 0, []
+    while (at := whole.find(needle, at)) >= 0:
+        start, end = owner[at][0], owner[at + len(needle) - 1][1]
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
+        at += len(needle)
+    return out
+
+
+def graphemes(text: Column) -> Column:
+    """How many user-perceived characters a text has; an icon may have two at most."""
+    return F.regexp_count(text, F.lit(r"\X"))
+
+
+def unroute_verdict(has_prior: Column, prior: Column, declared_elsewhere: Column, duration_s: Column, text: Column, floor_s: float = 1.0) -> Column:
+    """no_prior, revert or keep: whether a rewrite by another decoder still stands by the rules that would route it today.
+
+    Reverted: what was there is German, English or another clear language, or has
+    fewer than two content words; the voice declared languages that none routes;
+    the turn is under the floor; the rewrite is empty or weak.
+    """
+    worded = F.coalesce(F.trim(prior) != "", F.lit(False))
+    readable = language_vote(prior).isin("de", "en") | other_language(prior).isNotNull()
+    back = worded & (readable | (F.size(content_words(prior)) < 2))
+    weak = weak_output(text, duration_s)
+    gone = back | F.coalesce(declared_elsewhere, F.lit(False)) | (duration_s < floor_s) | (F.coalesce(text, F.lit("")) == "") | weak
+    return F.when(~has_prior, "no_prior").when(gone, "revert").otherwise("keep")
+
+
+#: Bounds of a decode that says something: letters, letters a second, distinct letters, Latin letters.
+MIN_LETTERS, MIN_LETTERS_PER_S, MIN_DISTINCT, MAX_LATIN = 4, 1.0, 0.5, 1 / 3
+
+
+def weak_output(text: Column, duration_s: Column) -> Column:
+    """Too few letters for a sentence or for the audio's length, a loop of a few letters, or mostly Latin ones."""
+    letters = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{L}"), F.lit(0))
+    n = F.size(letters)
+    latin = F.size(F.filter(letters, lambda c: c.rlike("[A-Za-zÀ-ɏ]")))
+    return (n < MIN_LETTERS) | (n < MIN_LETTERS_PER_S * F.greatest(duration_s, F.lit(0.0))) | (F.size(F.array_distinct(letters)) <= MIN_DISTINCT * n) | (latin > MAX_LATIN * n)
 
 
 def iso_or_number_ns(value: Column) -> Column:
