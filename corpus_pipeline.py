@@ -11,27 +11,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import bpe, jaccard, mixing, pii, queries, toxicity
-from colloquy.llm.common import Scratch
+from colloquy.llm.common import Scratch, for_long_texts
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    for_long_texts(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    for_long_texts(spark)
     return jaccard.keep_one(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    for_long_texts(spark)
     return pii.sanitise(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    for_long_texts(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    for_long_texts(spark)
     return bpe.digests(bpe.encode_decode(docs, *queries.vocabulary()))
 
 
