@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, small
 
 #: Words a block, slots a shard, how often a word may be taken, weights in the order of sources, parts of a source.
-BLOCK, SHARD, MOST, WEIGHTS, SPREAD, ROUNDS = 64, 4096, 3, (1, 2, 3), 4096, 4
+BLOCK, SHARD, MOST, WEIGHTS, SPREAD, ROUNDS = 64, 4096, 3, (1, 2, 3), 512, 4
 
 
 def word_count(text: Column) -> Column:
@@ -81,7 +81,7 @@ def offsets(docs: DataFrame) -> DataFrame:
     ahead = totals.withColumn("ahead", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ahead = ahead.select(F.col("source").alias("s"), F.col("part").alias("p"), "ahead")
     inside = F.coalesce(F.sum("size").over(W.partitionBy("source", "part").orderBy("doc").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inside", inside).join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("offset", F.col("ahead") + F.col("inside")).drop("s", "p", "part", "ahead", "inside")
+    return rows.withColumn("inside", inside).join(small(ahead), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("offset", F.col("ahead") + F.col("inside")).drop("s", "p", "part", "ahead", "inside")
 
 
 def plan(docs: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +118,8 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK, s
     # blocks: the parts of documents in each, by number
     parts = offsets(docs).where("size > 0").select("doc", "source", "size", "offset", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("b"))
     parts = parts.withColumn("first", F.greatest(F.lit(0), F.col("b") * block - F.col("offset"))).withColumn("n", F.least(F.col("size"), (F.col("b") + 1) * block - F.col("offset")) - F.col("first"))
-    pieces = parts.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b"))).select("doc", "epochs", "first", "n")
+    # the planner takes what is exploded from a few sources for small: both sides grow with the input and are to be shuffled
+    pieces = parts.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b"))).select("doc", "epochs", "first", "n")
     return sources, pieces
 
 
@@ -141,7 +142,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("doc", F.struct(F.coalesce("doc_id", F.lit(0)).alias("a"), F.col("doc_id").isNull().alias("b"), "source", F.col("size").alias("c")))
     sources, pieces = plan(rows.select("doc", "source", (F.col("size") * F.col("copies")).alias("size")), scratch, seed)
     taken = pieces.groupBy("doc").agg(F.sum(F.col("n") * F.bit_count("epochs")).alias("all_taken"))
-    per = rows.join(taken, "doc", "left").join(small(sources.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s")))
+    per = rows.join(taken.hint("merge"), "doc", "left").join(small(sources.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s")))
     each = F.coalesce(F.floor(F.col("all_taken") / F.col("copies")), F.lit(0)).cast("long")
     return per.withColumn("__copy", F.explode(F.expr("sequence(1, copies)"))).select("doc_id", "size", "source_size", "target", each.alias("taken"))
 
@@ -162,5 +163,5 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     per = per.groupBy("doc", "epoch").agg(F.sum("n").alias("words"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("epoch", "words", "parts"))).alias("epochs"))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     lines = F.transform("epochs", lambda e: F.when(e["words"] == F.size("__words"), F.col("text")).otherwise(F.concat_ws(" ", F.flatten(F.transform(e["parts"], lambda p: F.slice(F.col("__words"), (p["first"] + 1).cast("int"), p["n"].cast("int")))))))
-    out = docs.withColumn("doc", key).join(per, "doc").withColumn("__words", words).withColumn("text", F.concat_ws("\n", lines)).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = docs.withColumn("doc", key).join(per.hint("merge"), "doc").withColumn("__words", words).withColumn("text", F.concat_ws("\n", lines)).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
