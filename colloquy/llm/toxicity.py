@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i: the
-document has a term hashed to bucket i. The pair term, over low-rank vectors,
+document has a term (a word or the beginning of one) hashed to bucket i. The pair term, over low-rank vectors,
 learns interactions such as an insult with the mention of a group, which an
 additive linear model of terms misses. The model is fitted with numpy on the
 driver from a bounded sample of labelled documents (``SAMPLE``, documented
@@ -10,8 +10,9 @@ here); scoring reads every whole document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, chunked, map_batches
+from .common import binary_text, chunked, map_batches, trim, trimmed
 
 #: Labelled documents to fit on at most: those with the smallest hashes of their ids.
 SAMPLE = 12_000
@@ -30,20 +31,28 @@ FOLDS = 5
 _TERM = regex.compile(rb"[a-z0-9\x80-\xff]+")
 
 
+def features(word: bytes) -> tuple[bytes, ...]:
+    """What a word is known by: itself and its first four and six bytes, so that inflected forms of one stem count together."""
+    return word, b"^" + word[:4], b"^" + word[:6]
+
+
 class _Buckets(dict):
-    """term -> bucket; bounded."""
+    """word -> buckets of its features; bounded."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __init__(self, bits: int):
         super().__init__()
         self.mask = (1 << bits) - 1
 
-    def __missing__(self, term: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
             self.clear()
-        self[term] = h = xxhash.xxh3_64_intdigest(term) & self.mask
-        return h
+        self[word] = found = tuple(xxhash.xxh3_64_intdigest(f) & self.mask for f in features(word))
+        return found
+
+    def of(self, words: Iterable[bytes]) -> np.ndarray:
+        return np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint32))
 
 
 def terms(text: bytes) -> set[bytes]:
@@ -54,7 +63,7 @@ def terms(text: bytes) -> set[bytes]:
 def _bucket_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     of = _Buckets(bits)
     for b in chunked(batches, 8 << 20):
-        sets = [np.unique(np.fromiter(map(of.__getitem__, terms(t.as_py() or b"")), np.uint32)).tobytes() for t in b.column(1)]
+        sets = [of.of(terms(t.as_py() or b"")).tobytes() for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["toxic", "buckets"])
 
 
@@ -66,6 +75,9 @@ class Model:
     w: np.ndarray
     v: np.ndarray
 
+    def parts(self) -> tuple:
+        return self.bits, self.active, self.w0, self.w, self.v
+
     def places(self, buckets: np.ndarray) -> np.ndarray:
         if not len(self.active):
             return np.zeros(0, np.int64)
@@ -153,37 +165,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     joined = text.join(F.broadcast(picked), "__id").select("toxic", "__text")  # at most ``sample`` rows of two numbers
     bits = options.get("bits", BITS)
     got = map_batches(joined, _bucket_rows, "toxic int, buckets binary", bits).collect()  # at most ``sample`` documents' buckets
-    return train(sorted((r.toxic, bytes(r.buckets)) for r in got), **options)
+    model = train(sorted((r.toxic, bytes(r.buckets)) for r in got), **options)
+    del got
+    trim()
+    return model
 
 
 class Scorer:
     """Scores texts; remembers, within bounds, where each term leads."""
 
     def __init__(self, model: Model):
-        self.model, self.buckets = model, _Buckets(model.bits)
+        self.model, self.mask = model, (1 << model.bits) - 1
         self.place = {int(b): i for i, b in enumerate(model.active)}
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, tuple[int, ...]] = {}
 
     def of(self, text: bytes | None) -> float:
         found, known = set(), self.known
         for w in terms(text or b""):
-            i = known.get(w)
-            if i is None:
+            places = known.get(w)
+            if places is None:
                 if len(known) >= _Buckets.LIMIT:
                     known.clear()
-                known[w] = i = self.place.get(self.buckets[w], -1)
-            if i >= 0:
-                found.add(i)
+                at = (self.place.get(xxhash.xxh3_64_intdigest(f) & self.mask) for f in features(w))
+                known[w] = places = tuple(i for i in at if i is not None)
+            found.update(places)
         return self.model.score(np.array(sorted(found), np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row. A null or empty text has no terms and gets the base score."""
     rows = binary_text(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # ACTIVE buckets of RANK + 1 numbers
+    held = docs.sparkSession.sparkContext.broadcast(model.parts())  # ACTIVE buckets of RANK + 1 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        return trimmed(scores(batches))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(*held.value))
         for b in chunked(batches, 8 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.of(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
@@ -193,12 +211,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic; all their columns, scored beside their text in one pass."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model.parts())
     plain = docs.withColumn("__text", F.col(text_col).cast("binary"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        return trimmed(kept(batches))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(*held.value))
         for b in chunked(batches, 8 << 20):
             keep = pa.array([scorer.of(t.as_py()) < 0.5 for t in b.column(len(names))])
             yield b.select(range(len(names))).filter(keep)
