@@ -48,10 +48,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
+        """``df`` written and read again. zstd holds native memory for each file until the next collection: not for many small files."""
         self.n += 1
         path = f"{self.path}/{self.n:02d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -69,6 +70,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def for_long_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets at most ``rows`` documents into an Arrow batch of this session: ten thousand long texts at a time are much memory for nothing."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def binary_text(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns and the text as UTF-8 bytes (null: null) under the fixed name ``__text``."""
     return df.select(*keep, F.col(text_col).cast("binary").alias("__text"))
@@ -149,8 +157,16 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return h[:0]
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = mix64(out * _M1 + h[k : len(h) - n + 1 + k])
-    return out
+        out *= _M1
+        out += h[k : len(h) - n + 1 + k]
+        out ^= out >> np.uint64(29)
+    return mix64(out)
+
+
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    """``np.unique`` of numbers, by the faster of numpy's ways."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:

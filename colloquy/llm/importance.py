@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, binary_text, chunked, map_batches, mix64, ngram_hashes, small
+from .common import Scratch, WordHash, binary_text, chunked, map_batches, mix64, ngram_hashes, small, trimmed
 
 #: Buckets of the models, the share of documents drawn, the count added to each bucket.
 BUCKETS, KEEP, SMOOTH, SEED = 1 << 14, 0.5, 1.0, 11
@@ -69,7 +69,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, n: int = BU
     held = spark.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _weights(batches, 1, held.value)
+        return trimmed(_weights(batches, 1, held.value))
 
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0))), 11) + 0.5) / F.lit(float(1 << 53))
     scored = rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("score", F.col("log_weight") - F.log(-F.log(u)))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, binary_text, chunked, map_batches, mix64, ngram_hashes, small, trimmed
+from .common import Scratch, WordHash, binary_text, chunked, map_batches, mix64, ngram_hashes, small, sorted_distinct, trimmed
 from .components import components
 
 #: Words of a shingle; a link needs NUM / DEN of the union.
@@ -41,7 +41,7 @@ _SEEDS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: bytes, hashes: WordHash, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; of its whole word sequence if that is shorter."""
-    return np.unique(ngram_hashes(hashes.of(text.lower().split()), n))
+    return sorted_distinct(ngram_hashes(hashes.of(text.lower().split()), n))
 
 
 def least_overlap(a, b):
@@ -64,7 +64,9 @@ def _first(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
             seen.setdefault(d, s)
             sizes.append(len(s))
             digests.append(d)
-        tokens, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+        every = np.sort(np.concatenate(list(seen.values())))
+        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        tokens, counts = every[starts], np.diff(np.append(starts, len(every)))
         many = counts > 1
         k = len(sizes)
         yield pa.RecordBatch.from_arrays(
@@ -107,7 +109,7 @@ def _second(batches: Iterator[pa.RecordBatch], n: int, order: Order, keys: int)
             ranks = order.ranks(s)
             p = len(s) - -(-NUM * len(s) // DEN) + 1
             best = np.lexsort((s, ranks))[:p] if ranks.any() else np.arange(p)
-            mins = [mix64(s ^ seed).min() for seed in _SEEDS[:keys]]
+            mins = [(s ^ seed).min() for seed in _SEEDS[:keys]]  # hashes already: another order each
             for c, v in zip(cols, (doc, len(s), int((ranks > 0).sum()), np.array(mins, np.uint64).view(np.int64), s[best].view(np.int64)), strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays(

@@ -30,8 +30,12 @@ def _repeat_words(h: np.ndarray, window: int) -> int:
     if len(h) <= window:
         return 0
     g = ngram_hashes(h, window)
-    _, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(counts[inverse] > 1)
+    order = np.argsort(g)
+    same = g[order[1:]] == g[order[:-1]]
+    twice = np.zeros(len(g), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    starts = np.flatnonzero(twice)
     if not len(starts):
         return 0
     edge = np.zeros(len(h) + 1, np.int64)

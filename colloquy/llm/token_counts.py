@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import binary_text, chunked
+from .common import binary_text, chunked, trimmed
 
 
 def allocate(ends: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, int]:
@@ -66,7 +66,7 @@ def attribute(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc
     held = docs.sparkSession.sparkContext.broadcast(load_ranks(vocab_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _tokens(batches, held.value, pattern)
+        return trimmed(_tokens(batches, held.value, pattern))
 
     rows = binary_text(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col)
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_sections long, first_tokens long, n_crossing long, section_tokens array<long>")
