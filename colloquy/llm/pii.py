@@ -120,18 +120,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
     spanned = rows.select("doc_id", *_keys(F.col("doc_id"), F.col("t")), "t", base_spans(F.col("t")).alias("spans"))
     near = F.when(F.size("spans") > 0, _near(F.col("t"), F.col("spans")))
-    found = scratch.table(spanned.select("doc_id", "id0", "h", "spans", near.alias("near")), "found")
+    found = scratch.table(spanned.select("doc_id", "id0", "h", "spans", near.alias("near")), "found", "snappy")
     n_all = found.count()
     some = found.where("size(near) > 0")
     joint = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["entity"].alias("entity"))))).alias("p")).select("p.term", "p.entity").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    joint = scratch.table(joint, "joint")
     if joint.isEmpty():
         return found, found.limit(0).select("id0", "h", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("added"))
     n_e = found.where("size(spans) > 0").select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # n(t) is at least the number of documents where t stands near anything, and at most this if t is to tell: common words go before the corpus is counted
+    n_near = some.select(F.explode(F.array_distinct(F.col("near.term"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    most = F.col("n_te") * F.lit(float(n_all)) / F.col("n_e") * F.pow(F.col("n_e") / F.lit(float(n_all)), F.lit(GENERALISE))
+    rare = scratch.table(joint.join(n_e, "entity").join(n_near, "term").where((F.col("n_e") < n_all) & (F.col("n_near") <= most * (1 + 1e-9))).drop("n_near"), "rare", "snappy")
     all_terms = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col("t"), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    n_t = all_terms.join(small(joint.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = all_terms.join(small(rare.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     share = F.log(F.col("n_te") * F.lit(float(n_all)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n_all)) / F.col("n_e"))
-    telling = scratch.table(joint.join(n_t, "term").join(n_e, "entity").where(F.col("n_e") < n_all).withColumn("share", share).where(F.col("share") >= GENERALISE).select("term", "entity", "share"), "telling")
+    telling = scratch.table(rare.join(n_t, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("term", "entity", "share"), "telling", "snappy")
     hits = some.select("id0", "h", F.explode("near").alias("x")).select("id0", "h", "x.*").join(small(telling), ["term", "entity"])
     shaped = F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end", F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(F.lit(GENERAL)).alias("value"))
     # one span a place: near two entities, what removes wins
