@@ -87,7 +87,7 @@ def commitments(spark, sf):
 @query()
 def notes_to_self(spark, sf):
     """Notes after a wake phrase, some a letter off, with their reminders."""
-    rows = [(1, "Recall, remember to send the link tomorrow at 10", "mic"), (2, "Recal, merk dir: Schlüssel", "mic"), (3, "Recall, remember.", "mic"), (4, "recall note buy milk", "app"), (5, "remember the milk", "mic")]
+    rows = [(1, "Scribe, remember to send the link tomorrow at 10", "mic"), (2, "Scrib, merk dir: Schlüssel", "mic"), (3, "Scribe, remember.", "mic"), (4, "scribe note buy milk", "app"), (5, "remember the milk", "mic")]
     t = spark.createDataFrame(rows, "id long, text string, source_kind string").withColumn("t_start_ns", F.lit(1_788_436_800_000_000_000))
     return graph.notes(t)
 

@@ -35,13 +35,13 @@ def commitments(turns: DataFrame, tz: str = "UTC") -> DataFrame:
     )
 
 
-def notes(turns: DataFrame, tz: str = "UTC") -> DataFrame:
+def notes(turns: DataFrame, tz: str = "UTC", wake: str = timerefs.WAKE) -> DataFrame:
     """(segment_id, text, due_ns) of notes to self that microphone turns open with a wake phrase."""
     @F.pandas_udf("long")
     def due(text: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series([timerefs.reminder_due(t, int(a), tz) for t, a in zip(text, at, strict=True)], dtype="Int64")
 
-    rows = turns.where("source_kind IN ('mic', 'room')").withColumn("note", timerefs.notes(F.col("text"))).where("note IS NOT NULL")
+    rows = turns.where("source_kind IN ('mic', 'room')").withColumn("note", timerefs.notes(F.col("text"), wake)).where("note IS NOT NULL")
     return rows.select(F.col("id").alias("segment_id"), F.col("note").alias("text"), due(F.col("note"), F.col("t_start_ns")).alias("due_ns"))
 
 

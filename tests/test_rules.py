@@ -497,9 +497,10 @@ def test_commitments(spark):
 
 
 def test_notes():
-    assert R.note("Recall, remember to send the link") == "to send the link"
-    assert R.note("Recal, merk dir: Schlüssel") == "Schlüssel" and R.note("Recall note: milk") == "milk"
-    assert R.note("Recall, remember.") is None and R.note("recall not this") is None and R.note("remember the milk") is None
+    assert R.note("Scribe, remember to send the link") == "to send the link"
+    assert R.note("Scrib, merk dir: Schlüssel") == "Schlüssel" and R.note("Scribe note: milk") == "milk"
+    assert R.note("Scribe, remember.") is None and R.note("scribe not this") is None and R.note("remember the milk") is None
+    assert R.note("Archive, note x", wake="archive") == "x"
     assert R.within_one("node", "note") and R.within_one("abc", "abcd") and not R.within_one("abc", "cba") and not R.within_one("a", "abc")
 
 
