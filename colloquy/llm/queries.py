@@ -75,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op10_chat": OP10_SQL}
+    return {"op1_pii": OP1_SQL, "op4_ngram_jaccard": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_chat": OP10_SQL}
 
 
 OP6_SQL = r"""
@@ -129,3 +129,85 @@ SELECT conv_id, count(*) AS n_turns,
        sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS node, doc_id AS origin FROM documents UNION SELECT e.y, r.origin FROM r JOIN e ON e.x = r.node WHERE r.origin < e.y
+), c AS (
+  SELECT node, min(origin) AS component_id FROM r GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
+"""
+
+_KIND_SQL = "SELECT doc_id, text, {k} AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM t WHERE text LIKE '%{like}%'"
+_SPANS_SQL = " UNION ALL ".join(
+    _KIND_SQL.format(k=k, p=p, like=like)
+    for k, (p, like) in enumerate(
+        (
+            (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@"),
+            (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "."),
+            (r"[0-9](?:[\x20-]?[0-9])+", ""),
+            (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
+        )
+    )
+)
+OP1_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+  {_SPANS_SQL}
+), u AS (
+  SELECT doc_id, kind, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0
+), placed AS (
+  SELECT *, (sum(length(gap) + length(v)) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS b, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM u
+), b AS (
+  SELECT doc_id, kind, b - length(v) AS a, b, v FROM placed
+  WHERE CASE kind WHEN 1 THEN list_aggregate(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(try_cast(x AS INT), 999) END), 'max') <= 255
+    WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i]::INT WHEN digits[i]::INT > 4 THEN 2 * digits[i]::INT - 9 ELSE 2 * digits[i]::INT END)) % 10 = 0
+    WHEN 3 THEN length(digits) BETWEEN 9 AND 15 ELSE true END
+), win AS (
+  SELECT b.doc_id, kind || ':' || v AS entity, length(text) AS n, a, b, text, unnest([greatest(0, a - {pii.REACH}), b]) AS lo, unnest([a, least(length(text), b + {pii.REACH})]) AS hi FROM b JOIN t USING (doc_id)
+), wt AS (
+  SELECT doc_id, entity, n, a, b, lo, hi, regexp_extract_all(text[lo+1:hi], '\p{{L}}{{3,}}') AS m, string_split_regex(text[lo+1:hi], '\p{{L}}{{3,}}') AS g FROM win
+), wu AS (
+  SELECT doc_id, entity, n, a, b, lo, hi, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM wt WHERE len(m) > 0
+), wp AS (
+  SELECT *, (lo + sum(length(gap) + length(v)) OVER (PARTITION BY doc_id, entity, a, b, lo, hi ORDER BY i))::BIGINT AS te FROM wu
+), near AS (
+  SELECT DISTINCT doc_id, entity, lower(v) AS term, te - length(v) AS ts, te FROM wp
+  WHERE (te - length(v) > lo OR lo = 0 OR lo = b) AND (te < hi OR hi = n OR hi = a) AND NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = wp.doc_id AND te - length(v) < o.b AND te > o.a)
+), total AS (
+  SELECT count(*)::DOUBLE AS n FROM documents
+), te AS (
+  SELECT term, entity, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= {pii.SUPPORT}
+), ne AS (
+  SELECT kind || ':' || v AS entity, count(DISTINCT doc_id) AS n_e FROM b GROUP BY ALL
+), nt AS (
+  SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}{{3,}}'), lambda x: lower(x)))) AS term FROM t) WHERE term IN (SELECT term FROM te) GROUP BY ALL
+), telling AS (
+  SELECT term, entity FROM te JOIN ne USING (entity) JOIN nt USING (term), total WHERE n_e < n AND ln(n_te * n / (n_t * n_e)) / ln(n / n_e) >= {pii.GENERALISE}
+), added AS (
+  SELECT DISTINCT doc_id, 4 AS kind, ts AS a, te AS b FROM near JOIN telling USING (term, entity)
+), listed AS (
+  SELECT doc_id, a, kind, b, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || a || ':' || b AS s FROM (SELECT doc_id, kind, a, b FROM b UNION ALL SELECT doc_id, kind, a, b FROM added)
+), o AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+         coalesce(string_agg(s, ',' ORDER BY a, kind, b) FILTER (kind < 4), '') AS base, string_agg(s, ',' ORDER BY a, kind, b) AS spans, count(*) FILTER (kind = 4) AS n_term FROM listed GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM t LEFT JOIN o USING (doc_id)
+"""
