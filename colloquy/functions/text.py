@@ -30,6 +30,11 @@ EXCLUSIVE_LETTERS = {"cs": "ýčěřšůž", "es": "ñ", "pl": "ąćęłńśż",
 OFFERED = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "pl": "Polish", "ru": "Russian", "uk": "Ukrainian", "ja": "Japanese", "zh": "Chinese", "ko": "Korean", "tr": "Turkish", "sv": "Swedish", "da": "Danish", "no": "Norwegian", "fi": "Finnish", "cs": "Czech"}
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalised_words(text: Column) -> Column:
     """Upper-case words of letters, digits and apostrophes; what has none of them is no word."""
     words = F.split(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Z}\s]+", " ")), r"[^\p{L}\p{N}' ]", ""), " ")
@@ -63,8 +68,8 @@ def word_edits(a: Column, b: Column) -> Column:
     Each distinct word becomes one character, so the built-in distance on
     strings does the work; two texts may have 54 thousand distinct words.
     """
-    both = F.array_distinct(F.concat(a, b))
-    return F.levenshtein(_coded(a, both), _coded(b, both))
+    pair = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("d"))
+    return let(pair, lambda p: F.levenshtein(_coded(p["a"], p["d"]), _coded(p["b"], p["d"])))
 
 
 def wer(heard: Column, truth: Column) -> Column:
@@ -154,9 +159,14 @@ def corrected_words(before: Column, after: Column) -> Column:
     """Words of three letters or more that a correction added, in its spelling, once each."""
     strip = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}'-]+|[^\p{L}\p{N}'-]+$", "")
     had = F.transform(split_words(before), lambda w: F.lower(strip(w)))
-    new = F.filter(F.transform(split_words(after), strip), lambda w: (F.char_length(w) >= 3) & ~F.array_contains(had, F.lower(w)))
-    low = F.transform(new, F.lower)
-    return F.filter(new, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+    new = let(had, lambda h: F.filter(F.transform(split_words(after), strip), lambda w: (F.char_length(w) >= 3) & ~F.array_contains(h, F.lower(w))))
+    return _first_spellings(new)
+
+
+def _first_spellings(words: Column) -> Column:
+    """Words once each, whatever their case, as first spelt."""
+    both = F.struct(words.alias("w"), F.transform(words, lambda w: F.lower(w)).alias("low"))
+    return let(both, lambda x: F.filter(x["w"], lambda w, i: F.array_position(x["low"], F.lower(w)) == i + 1))
 
 
 def clean_terms(terms: Column) -> Column:
@@ -168,8 +178,7 @@ def clean_terms(terms: Column) -> Column:
 def effective_terms(user: Column, *automatic: Column, cap: int = 100) -> Column:
     """Terms in order of priority, once each whatever their case (the first spelling stays), ``cap`` at most."""
     every = F.filter(F.transform(F.concat(user, *automatic), lambda t: F.trim(t)), lambda t: t != "")
-    low = F.transform(every, F.lower)
-    return F.slice(F.filter(every, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), 1, cap)
+    return F.slice(_first_spellings(every), 1, cap)
 
 
 def cjk_bigrams(text: Column) -> Column:
