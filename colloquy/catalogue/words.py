@@ -28,7 +28,7 @@ def keyword_search(spark, sf):
     return retrieval.keyword_search(d, "with of", 50)
 
 
-@query(rf"""WITH s AS (SELECT item_id AS id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '{_WORDS}'), lambda x: length(x) BETWEEN 4 AND 96 AND x NOT IN ({_list(retrieval.COMMON)})))) AS w FROM benchmark
+@query(rf"""WITH s AS (SELECT item_id AS id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 4 AND strlen(x) <= 96 AND x NOT IN ({_list(retrieval.COMMON)})))) AS w FROM benchmark
 ), t AS (SELECT id, unnest(w) AS term FROM s), q AS (SELECT id, unnest(w[1:24]) AS term FROM s
 ), h AS (SELECT q.id, t.id AS other, count(*) AS m FROM q JOIN t USING (term) WHERE q.id <> t.id GROUP BY ALL
 ), k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY m DESC, other DESC) <= 200

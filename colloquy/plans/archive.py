@@ -141,4 +141,5 @@ class Archive:
     def related(self, id: int, limit: int = 5) -> DataFrame:
         if not 1 <= limit <= 10:
             raise OperatorError("params", "limit must be 1-10")
-        return retrieval.related(self.table("moments"), limit).where(F.col("id") == id)
+        moments = self.table("moments")
+        return retrieval.related(moments, limit, ids=moments.where(F.col("id") == id).select("id"))

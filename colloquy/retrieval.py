@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from .functions.text import letter_words, words_in_common
 
 RRF_K, DEPTH = 60.0, 50
-# Four-letter words and more that are too common to recommend anything.
-COMMON = "about aber also auch been dass diese dieser eine einem einen einer from have hier into jetzt just kann like mehr more nicht noch oder only over schon sein sich sind some than that their them then there they this über und very want wenn were what when which will wird with would your".split()
+# Words of four letters or more that are too common to recommend anything.
+COMMON = (
+    "this that with from have will your they them what when then there their about just like would could should been "
+    "were also some into than very really because eine einen einer einem nicht dass aber auch noch schon oder sich wird "
+    "sind haben dann dies über"
+).split()
 
 
 def inverted_index(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -20,7 +24,7 @@ def inverted_index(docs: DataFrame, id_col: str = "id", text_col: str = "text")
     return rows.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def keyword_search(docs: DataFrame, query: str, limit: int | None = DEPTH, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def keyword_search(docs: DataFrame, query: str, limit: int = DEPTH, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score, rank, total): texts that have every word of the query, literally; ``total`` counts all of them.
 
     The score is the sum over the words of tf * ln(1 + N / df), ties by id. Texts
@@ -39,7 +43,7 @@ def keyword_search(docs: DataFrame, query: str, limit: int | None = DEPTH, id_co
     score = sum((F.col(f"tf{k}") * F.log(1 + F.col("n") / F.col(f"df{k}")) for k in range(len(terms))), F.lit(0.0))
     hits = hits.select("id", F.round(score, 9).alias("score"))
     total = hits.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1))
-    page = hits.orderBy(F.col("score").desc(), "id").limit(limit) if limit else hits
+    page = hits.orderBy(F.col("score").desc(), "id").limit(limit)  # a bounded heap a task; only a page is numbered
     ranked = page.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "id"))).withColumn("one", F.lit(1))
     return ranked.join(F.broadcast(total), "one").select("id", "score", "rank", "total")
 
@@ -80,26 +84,25 @@ def fuse(keyword: DataFrame, semantic: DataFrame, k: float = RRF_K, on: list[str
 
 
 def content_set(text: Column) -> Column:
-    """Distinct words of four letters or more (96 at most) that are not too common."""
+    """Distinct runs of letters and digits, four or more (96 bytes at most), that are not too common."""
     listed = F.array(*(F.lit(w) for w in COMMON))
-    return F.array_distinct(F.filter(letter_words(text), lambda w: (F.char_length(w) >= 4) & (F.char_length(w) <= 96) & ~F.array_contains(listed, w)))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 4) & (F.octet_length(w) <= 96) & ~F.array_contains(listed, w)))
 
 
-def related(moments: DataFrame, limit: int = 5, query_words: int = 24, candidates: int = 200, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def related(moments: DataFrame, limit: int = 5, query_words: int = 24, candidates: int = 200, id_col: str = "id", text_col: str = "text", ids: DataFrame | None = None) -> DataFrame:
     """(id, other, shared, score, place): for each moment those that share two words or more, by Jaccard index, ties to the later id.
 
     As in a search box, a moment asks with its first ``query_words`` words in order
-    and looks at the ``candidates`` moments that have most of them. Candidates
-    come from an inverted index on words; words that a fiftieth of all moments
-    have find nobody, so that the join stays near linear.
+    and looks at the ``candidates`` moments that have most of them. ``ids`` (id)
+    limits who asks; candidates come from an inverted index on words, so the work
+    is what the asked words' holders are, in one join.
     """
     sets = moments.select(F.col(id_col).cast("long").alias("id"), F.array_sort(content_set(F.col(text_col))).alias("words"))
     terms = sets.select("id", F.explode("words").alias("term"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = sets.select("id", F.explode(F.slice("words", 1, query_words)).alias("term"))
-    n = moments.count()
-    telling = df.where(F.col("df") <= max(50, n // 50)).where("df > 1").select("term")
-    hits = asked.join(telling, "term").join(terms.select(F.col("id").alias("other"), "term"), "term").where("id <> other")
+    asking = sets if ids is None else sets.join(ids.select(F.col("id")), "id", "left_semi")
+    asked = asking.select("id", F.explode(F.slice("words", 1, query_words)).alias("term"))
+    hits = asked.join(terms.select(F.col("id").alias("other"), "term"), "term").where("id <> other")
     per = hits.groupBy("id", "other").agg(F.count(F.lit(1)).alias("matches"))
     near = per.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy(F.col("matches").desc(), F.col("other").desc()))).where(F.col("k") <= candidates)
     both = near.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("words").alias("w2")), "other")

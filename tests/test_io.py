@@ -167,6 +167,14 @@ def test_fusion(spark):
     assert abs(got[0].score - (1 / 62 + 1 / 61)) < 1e-12
 
 
+def test_related(spark):
+    rows = [(1, "shader rendering performance"), (2, "shader rendering optimization"), (3, "different conversation entirely"), (4, "this that with eine nicht")]
+    m = spark.createDataFrame(rows, "id long, text string")
+    got = [(r.id, r.other, r.shared) for r in retrieval.related(m).orderBy("id").collect()]
+    assert got == [(1, 2, 2), (2, 1, 2)]
+    assert [r.other for r in retrieval.related(m, ids=m.where("id = 2").select("id")).collect()] == [1]
+
+
 def test_index_search_is_search(spark):
     d = segments(spark).select("id", "text")
     index = retrieval.inverted_index(d)
