@@ -36,6 +36,8 @@ from .components import components
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Min-hash keys a set for the stars; the most tokens whose frequency the order knows.
 KEYS, FREQUENT = 6, 1 << 16
+#: Text bytes of a block within which shared tokens are counted for the order.
+BLOCK_BYTES = 24 << 20
 _SEEDS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -55,30 +57,39 @@ def _digest(s: np.ndarray) -> bytes:
 
 def _first(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Sizes and digests; and, a row a block, tokens that two or more different sets of the block have."""
-    hashes = WordHash()
+    hashes, seen, size = WordHash(), {}, 0
     for b in chunked(batches, 8 << 20):
-        seen, sizes, digests = {}, [], []
+        sizes, digests = [], []
         for t in b.column(1):
-            s = shingles(t.as_py() or b"", hashes, n)
+            t = t.as_py() or b""
+            s = shingles(t, hashes, n)
             d = _digest(s)
             seen.setdefault(d, s)
+            size += len(t)
             sizes.append(len(s))
             digests.append(d)
-        every = np.sort(np.concatenate(list(seen.values())))
-        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-        tokens, counts = every[starts], np.diff(np.append(starts, len(every)))
-        many = counts > 1
         k = len(sizes)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([b.column(0), pa.nulls(1, pa.int64())]),
-                pa.array([*sizes, None], pa.int64()),
-                pa.array([*digests, None], pa.binary()),
-                pa.array([*[None] * k, tokens[many].view(np.int64)], pa.list_(pa.int64())),
-                pa.array([*[None] * k, counts[many].astype(np.int32)], pa.list_(pa.int32())),
-            ],
-            ["doc", "n", "digest", "tokens", "counts"],
-        )
+        yield _first_rows(b.column(0), sizes, digests, [None] * k, [None] * k)
+        if size >= BLOCK_BYTES:
+            yield _shared(seen)
+            seen, size = {}, 0
+    if seen:
+        yield _shared(seen)
+
+
+def _shared(seen: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+    every = np.sort(np.concatenate(list(seen.values())))
+    starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(every)))
+    many = counts > 1
+    return _first_rows(pa.nulls(1, pa.int64()), [None], [None], [every[starts][many].view(np.int64)], [counts[many].astype(np.int32)])
+
+
+def _first_rows(docs: pa.Array, sizes: list, digests: list, tokens: list, counts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [docs, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
+        ["doc", "n", "digest", "tokens", "counts"],
+    )
 
 
 class Order:
@@ -155,6 +166,7 @@ class _Verifier:
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         out = self.scratch.table(map_batches(both, _linked, "a long, b long").distinct(), "links")
         self.scratch.drop(sets)
+        self.scratch.drop(pairs)
         return out
 
 
@@ -207,12 +219,14 @@ def link_classes(texts: DataFrame, scratch: Scratch, n: int = SHINGLE, keys: int
     comps = _joined(stars, verifier.links(witnesses), scratch)
     # groups with several members that one witness a token did not link are opened in full, unless they came together otherwise
     now = comps.select(F.col("node"), F.col("comp").alias("now"))
-    left = opened.where(several).select("comp_a", "comp_b", "members_a", "members_b")
+    left = opened.where(several).select("comp_a", "comp_b", "members_a", "members_b", "c")
     for side in ("a", "b"):
         left = left.join(now.select(F.col("node").alias(f"comp_{side}"), F.col("now").alias(f"now_{side}")), f"comp_{side}", "left")
-    left = scratch.table(left.where(F.coalesce("now_a", "comp_a") != F.coalesce("now_b", "comp_b")).select("comp_a", "comp_b", "members_a", "members_b"), "left")
+    left = scratch.table(left.where(F.coalesce("now_a", "comp_a") != F.coalesce("now_b", "comp_b")).select("comp_a", "comp_b", "members_a", "members_b", "c"), "left")
     if not left.isEmpty():
         comps = _joined(comps, verifier.links(_members(base, matrix, left)), scratch)
+    for done in (sig, matrix, opened, left):
+        scratch.drop(done)
     return meta, reps, comps
 
 
@@ -250,8 +264,12 @@ def _members(base: DataFrame, matrix: DataFrame, left: DataFrame) -> DataFrame:
     For two sizes the overlap o that a link needs is known, so two sets that link
     share a token among the first n - o + 1 of each, which are fewer than the
     whole prefixes: in an order with common tokens last, near copies hardly meet
-    by what they all have. The smaller group's tokens look for the larger's.
+    by what they all have. The smaller group's tokens look for the larger's. Two
+    groups that share more tokens than they have pairs of members are opened pair
+    by pair instead, which is fewer rows.
     """
+    few = F.col("members_a") * F.col("members_b") <= F.col("c")
+    pairwise, left = left.where(few), left.where(~few)
     fewer = F.col("members_a") <= F.col("members_b")
     sides = left.select(F.when(fewer, F.col("comp_a")).otherwise(F.col("comp_b")).alias("gx"), F.when(fewer, F.col("comp_b")).otherwise(F.col("comp_a")).alias("gy"))
     inside = sides.select(F.col("gx").alias("comp")).unionByName(sides.select(F.col("gy").alias("comp"))).distinct()
@@ -261,7 +279,11 @@ def _members(base: DataFrame, matrix: DataFrame, left: DataFrame) -> DataFrame:
     x = near.select(F.col("comp").alias("gx"), F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "token")
     y = near.select(F.col("comp").alias("gy"), F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), "token")
     met = sides.join(x, "gx").join(y, ["gy", "token"]).where(_fits(F.col("n_a"), F.col("n_b")) & _tight())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    inner = base.withColumn("comp", F.coalesce("comp", "doc")).select("comp", "doc", "n", "prefix")
+    of = lambda side: inner.select(F.col("comp").alias(f"comp_{side}"), F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("prefix").alias(f"p_{side}"))
+    opened = pairwise.join(of("a"), "comp_a").join(of("b"), "comp_b").where(_fits(F.col("n_a"), F.col("n_b")))
+    opened = opened.where(F.size(F.array_intersect("p_a", "p_b")) >= _needed(F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b")))
+    return met.select("a", "b").unionByName(opened.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _tight() -> Column:
