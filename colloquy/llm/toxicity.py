@@ -102,10 +102,10 @@ def train(rows: list[tuple[int, bytes]], bits: int = BITS, active: int = ACTIVE,
     none = Model(bits, np.zeros(0, np.uint32), base, np.zeros(0), np.zeros((0, rank)))
     if not n or pos in (0, n):
         return none
-    size = np.array([len(s) for s in sets])
-    all_b = np.concatenate(sets)
-    a = np.bincount(all_b, weights=np.repeat(y, size), minlength=1 << bits)  # toxic documents with the bucket
-    c = np.bincount(all_b, minlength=1 << bits)
+    a, c = np.zeros(1 << bits), np.zeros(1 << bits)  # toxic documents with the bucket, and all
+    for t, s in zip(y, sets, strict=True):
+        c[s] += 1  # a set has a bucket once
+        a[s] += t
     expect = c * (pos / n)
     chi = np.where(c >= 5, (a - expect) ** 2 / np.maximum(expect * (1 - pos / n), 1e-9), 0)
     best = np.lexsort((np.arange(1 << bits), -chi))[:active]
@@ -164,9 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     joined = text.join(F.broadcast(picked), "__id").select("toxic", "__text")  # at most ``sample`` rows of two numbers
     bits = options.get("bits", BITS)
-    got = map_batches(joined, _bucket_rows, "toxic int, buckets binary", bits).collect()  # at most ``sample`` documents' buckets
-    model = train(sorted((r.toxic, bytes(r.buckets)) for r in got), **options)
+    # at most ``sample`` documents' buckets, as one Arrow table: no objects a row in either process
+    got = map_batches(joined, _bucket_rows, "toxic int, buckets binary", bits).toArrow()
+    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     del got
+    model = train(rows, **options)
+    del rows
     trim()
     return model
 
