@@ -11,6 +11,10 @@ n(t) those that have t anywhere, N all. A term reveals
 of the entity: 1 if the entity always comes with the term. Terms with at least
 ``SUPPORT`` joint documents and a share of ``GENERALISE`` or more are replaced by
 a general word wherever they stand near that entity; of ``REMOVE`` or more, removed.
+
+That is ``detect``, which has SQL. ``sanitise`` counts n(t, e) over whole documents,
+however far t stands from e, and rewrites every occurrence of a telling term, in
+documents that don't mention the entity too; terms are what stands outside spans.
 """
 
 from __future__ import annotations
@@ -160,27 +164,73 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.concat("spans", added)).alias("all_spans"), F.size(added).cast("long").alias("n_term")).withColumnRenamed("all_spans", "spans")
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` (and ``n_chars``) rewritten: base spans become [EMAIL], [IP], [CARD], [PHONE]; telling terms go or become [TERM].
-
-    Where spans overlap, the one that starts first decides, and what the others
-    cover beyond it goes too. Texts without spans, null ones included, stay as they are.
-    """
-    found, terms = find(docs)
-    both = found.where("size(spans) > 0").select("id0", "h", "spans").dropDuplicates(["id0", "h"]).join(terms.dropDuplicates(["id0", "h"]), ["id0", "h"], "left")
-    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in PATTERNS))
-    marked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.element_at(marks, s["kind"] + 1).alias("value")))
-    both = both.select("id0", "h", F.array_sort(F.concat(marked, F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")))).alias("__spans"))
-    text = F.col("text")
-    new = F.aggregate(
-        F.col("__spans"),
+def _rewritten(text: Column, spans: Column, piece) -> Column:
+    """``text`` with each span's value in its place and ``piece`` of what stands between. The span that starts first decides; what others cover beyond it goes too."""
+    return F.aggregate(
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["value"])).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece(F.substring(text, acc["at"] + 1, s["start"] - acc["at"])), s["value"])).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
+        lambda acc: F.concat(acc["out"], piece(F.substring(text, acc["at"] + 1, F.char_length(text)))),
     )
+
+
+def _valued(spans: Column, value) -> Column:
+    """Spans with ``value`` of each in place of its own."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), value(s).alias("value")))
+
+
+def infer(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, verdicts): found has id0, h, spans for every row; verdicts has id0, h and ``said``, term -> what takes its place, where a telling term stands.
+
+    Counts are over whole documents and all rows.
+    """
+    scratch = Scratch(docs.sparkSession, "infer")
+    rows = docs.select(*_keys(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("t"))
+    lowered = lambda t: F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), F.lower))
+    between = _rewritten(F.col("t"), _valued(F.col("spans"), lambda s: F.lit("\n")), lambda x: x)
+    found = scratch.table(rows.withColumn("spans", base_spans(F.col("t"))).select("id0", "h", "spans", F.when(F.size("spans") > 0, lowered(between)).alias("terms")), "found", "snappy")
+    n_all, some = float(found.count()), found.where("size(spans) > 0")
+    named = some.select("terms", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    # n(t, e) is n(e) at most: only entities of so many documents can have terms
+    known = scratch.table(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n_all)), "known", "snappy")
+    if known.isEmpty():
+        return found, found.limit(0).select("id0", "h", F.create_map().cast("map<string,string>").alias("said"))
+    joint = named.join(small(known), "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    # n(t) is at least the number of documents with spans that have t: terms that even then tell too little go before the corpus is counted
+    share = lambda n_t: F.log(F.col("n_te") * F.lit(n_all) / (n_t * F.col("n_e"))) / F.log(F.lit(n_all) / F.col("n_e"))
+    n_some = some.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_some"))
+    rare = scratch.table(joint.join(n_some, "term").where(share(F.col("n_some")) >= GENERALISE - 1e-9).drop("n_some"), "rare", "snappy")
+    plain = rows.join(small(some.select("id0", "h").distinct()), ["id0", "h"], "left_anti").select("id0", "h", lowered(F.col("t")).alias("terms"))
+    every = some.select("id0", "h", "terms").unionByName(plain).select("id0", "h", F.explode("terms").alias("term"))
+    at = scratch.table(every.join(small(rare.select("term").distinct()), "term", "left_semi"), "at", "snappy")
+    n_t = at.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    best = rare.join(n_t, "term").groupBy("term").agg(F.max(share(F.col("n_t"))).alias("share")).where(F.col("share") >= GENERALISE)
+    telling = scratch.table(best.select("term", F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(F.lit(GENERAL)).alias("value")), "telling", "snappy")
+    verdicts = at.join(small(telling), "term").groupBy("id0", "h").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("said"))
+    return found, scratch.table(verdicts, "verdicts", "snappy")
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` (and ``n_chars``) rewritten: base spans become [EMAIL], [IP], [CARD], [PHONE]; telling terms go or become [TERM] wherever they stand.
+
+    Where spans overlap, the one that starts first decides, and what the others
+    cover beyond it goes too. Texts without spans and telling terms, null ones included, stay as they are.
+    """
+    found, verdicts = infer(docs)
+    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in PATTERNS))
+    marked = found.where("size(spans) > 0").dropDuplicates(["id0", "h"]).select("id0", "h", F.array_sort(_valued(F.col("spans"), lambda s: F.element_at(marks, s["kind"] + 1))).alias("__spans"))
+    text, said = F.col("text"), F.col("said")
+
+    def without_terms(piece: Column) -> Column:
+        parts = F.arrays_zip(F.split(piece, TERM, -1).alias("g"), F.regexp_extract_all(piece, F.lit(TERM), F.lit(0)).alias("m"))
+        put = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(F.element_at(said, F.lower(x["m"])), x["m"], F.lit("")))), "")
+        return F.when(said.isNull(), piece).otherwise(put)
+
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     keyed = docs.withColumns(dict(zip(("id0", "h"), _keys(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))), strict=True)))
-    out = keyed.join(small(both), ["id0", "h"], "left").withColumn("text", F.when(F.col("__spans").isNotNull(), new).otherwise(text))
-    return out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = keyed.join(small(marked), ["id0", "h"], "left").join(small(verdicts), ["id0", "h"], "left").withColumn("__hit", F.col("__spans").isNotNull() | said.isNotNull())
+    out = out.withColumn("text", F.when(F.col("__hit"), _rewritten(text, F.coalesce("__spans", none), without_terms)).otherwise(text))
+    return out.withColumn("n_chars", F.when(F.col("__hit"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

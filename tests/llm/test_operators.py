@@ -57,6 +57,16 @@ def test_pii_terms_and_sanitise(spark):
     assert pii.sanitise(df).columns == df.columns
 
 
+def test_sanitise_terms_far_from_the_address_and_without_it(spark):
+    far = "words that all have " * 6
+    texts = [f"Quorlix {far}mail zz@mail.example.com {far}QUORLIX" for _ in range(4)] + [f"{far}quorlix, Quorlixes"] + [f"{far}mail {k}" for k in range(55)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    # of five documents with the name four mention the address: share log(12) / log(15), so it goes
+    out = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert all(out[i].text == f" {far}mail [EMAIL] {far}" for i in range(4)) and out[4].text == f"{far}, Quorlixes"
+    assert all(out[i].text == texts[i] for i in range(5, 60)) and all(r.n_chars == len(r.text) for r in out.values())
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_jaccard(which, request):
     df = request.getfixturevalue(which)
