@@ -5,8 +5,10 @@ how many of its slots go to each source; a source's slots map, epoch by epoch,
 through pseudorandom permutations of its block numbers; slots and blocks join by
 number. The draw is the systematic form of the multinomial: slot m of shard h
 lies at (m + u_h) / M on the sources' cumulative shares, u_h uniform by hash. Its
-expectation is that of independent draws and its counts lie within one of it, so
-each source comes near its target on small data too.
+expectation is that of independent draws and its counts lie within one of it. A
+source is due target * blocks / size slots, as its last block is partly empty. One
+that is due fewer than a shard holds is not drawn but settled: its slots go on until
+its target, rounded, is reached, and the last slot takes only the words still due.
 
 Hot sources: sizes sum to offsets in two levels, over ``SPREAD`` hashed parts of a
 source, then over the parts' totals; slots and blocks join on (source, number).
@@ -91,13 +93,16 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK, s
     epoch, first, n: the words first..first+n-1 of a document are taken in that epoch.
     """
     sized = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    total = F.sum("source_size").over(W.partitionBy())
-    share = F.col("target") / F.greatest(total, F.lit(1))
+    blocks = F.ceil(F.col("source_size") / block).cast("long")
+    due = F.coalesce(F.col("target") * blocks / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    all_due = F.sum("due").over(W.partitionBy())
+    share = F.when(all_due > 0, F.col("due") / all_due).otherwise(F.lit(0.0))
     up = F.sum("__share").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
     sources = scratch.table(
         targets(sized)
-        .withColumn("slots", F.round(total / block).cast("long"))
-        .withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+        .withColumn("due", due)
+        .withColumn("slots", F.round(all_due).cast("long"))
+        .withColumn("blocks", blocks)
         .withColumn("__share", share)
         .withColumn("upto", F.when(F.lead("source_size").over(W.orderBy(F.col("source").asc_nulls_last())).isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), up)))
         .withColumn("since", F.coalesce(F.lag("upto").over(W.orderBy(F.col("source").asc_nulls_last())), F.lit(0.0)))
@@ -105,21 +110,35 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK, s
         "sources",
     )
     # draw: how many slots of each shard go to each source, in closed form
-    draws = sources.where("slots > 0 and blocks > 0").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {shard}"))))
+    draws = sources.where(f"slots > 0 and due >= {shard}").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {shard}"))))
     width = F.least(F.lit(shard), F.col("slots") - F.col("shard") * shard)
     u = _unit(seed, F.col("shard"))
     upto = lambda c: F.least(width, F.greatest(F.lit(0), F.ceil(width * F.col(c) - u)))
     draws = draws.withColumn("count", F.when(F.col("upto") >= 1.0, width).otherwise(upto("upto")) - upto("since"))
     draws = draws.withColumn("first_slot", F.sum("count").over(W.partitionBy("source").orderBy("shard")) - F.col("count"))
     # map: slot j of a source is block perm(j mod blocks) of epoch j div blocks; no epoch beyond the last allowed
-    slots = draws.where("count > 0").select("source", "blocks", F.explode(F.expr("sequence(first_slot, first_slot + count - 1)")).alias("j")).withColumn("epoch", F.expr("cast(j div blocks as int)")).where(F.col("epoch") < MOST)
-    slots = slots.select("source", permuted(F.expr("j % blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("epoch")).alias("b"), "epoch")
-    taken = slots.groupBy(F.col("source").alias("s"), F.col("b").alias("__b")).agg(F.sum(F.expr("shiftleft(1, epoch)")).alias("epochs"))
+    drawn = draws.where("count > 0").select("source", "source_size", "blocks", F.explode(F.expr("sequence(first_slot, first_slot + count - 1)")).alias("j"))
+    # settled: full epochs, then as many slots as hold the rest though the last block, with its few words, be among them
+    want = sources.where(f"due > 0 and due < {shard}").withColumn("want", F.round("target").cast("long")).where("want > 0")
+    rest, tail = "want % source_size", f"(source_size - (blocks - 1) * {block})"
+    want = want.withColumn("upto", F.expr(f"(want div source_size) * blocks + if({rest} > 0, least(blocks, ({rest} + 2 * {block} - {tail} - 1) div {block}), 0)"))
+    settled = want.select("source", "source_size", "blocks", "want", F.explode(F.expr("sequence(0, upto - 1)")).alias("j"))
+    slots = drawn.withColumn("want", F.lit(None).cast("long")).unionByName(settled).withColumn("epoch", F.expr("cast(j div blocks as int)")).where(F.col("epoch") < MOST)
+    slots = slots.select("source", "source_size", "blocks", "want", "j", "epoch", permuted(F.expr("j % blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("epoch")).alias("b"))
+    slots = scratch.table(slots, "slots", "snappy")  # read twice below
+    # only settled sources, of few slots each, are ordered for what is still due at each slot
+    words = F.when(F.col("b") == F.col("blocks") - 1, F.expr(tail)).otherwise(F.lit(block))
+    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("j").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = slots.where("want is not null").withColumn("words", words).withColumn("take", F.least(F.lit(block), F.col("want") - before)).where("take > 0")
+    slots = slots.where("want is null").withColumn("take", F.lit(block).cast("long")).select("source", "b", "epoch", "take").unionByName(cut.select("source", "b", "epoch", "take"))
+    taken = slots.groupBy(F.col("source").alias("s"), F.col("b").alias("__b"), "take").agg(F.sum(F.expr("shiftleft(1, epoch)")).alias("epochs"))
     # blocks: the parts of documents in each, by number
     parts = offsets(docs).where("size > 0").select("doc", "source", "size", "offset", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("b"))
     parts = parts.withColumn("first", F.greatest(F.lit(0), F.col("b") * block - F.col("offset"))).withColumn("n", F.least(F.col("size"), (F.col("b") + 1) * block - F.col("offset")) - F.col("first"))
     # the planner takes what is exploded from a few sources for small: both sides grow with the input and are to be shuffled
-    pieces = parts.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b"))).select("doc", "epochs", "first", "n")
+    met = parts.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b")))
+    into = F.greatest(F.lit(0), F.col("offset") - F.col("b") * block)  # where the part begins in its block
+    pieces = met.withColumn("n", F.least(F.col("n"), F.col("take") - into)).where("n > 0").select("doc", "epochs", "first", "n")
     return sources, pieces
 
 

@@ -150,6 +150,21 @@ def test_mixing(which, request):
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(df.repartition(3)).collect()))
 
 
+def test_mixing_small_sources(spark):
+    """Sources of less than a block, of a block and a word, and of a few blocks, beside a large one: each comes to its target within a word."""
+    sizes = {f"s{k:03d}": n for k, n in enumerate([1, 2, 10, 63, 64, 65, 100, 127, 128, 129, 300, 1000] * 6)} | {None: 65, "t": 10_000}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    want = brute.targets(sizes)
+    for i, (s, n) in enumerate(sizes.items()):
+        assert got[i].taken <= 3 * n and abs(got[i].taken - want[s]) <= 1, (s, n, got[i])
+    # what the pipeline's stage takes is what the table says
+    docs = df.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars")
+    words = {r.doc_id: len(r.text.split()) for r in mixing.mixed_documents(docs).collect()}
+    assert words == {i: r.taken for i, r in got.items() if r.taken}
+
+
 def test_mixing_targets_cap(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 400, "d": 7000, "é": 1, "z": 2}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
