@@ -25,8 +25,8 @@ from .common import binary_text, chunked, map_batches, trim, trimmed
 
 #: Labelled documents to fit on at most: those with the smallest hashes of their ids.
 SAMPLE = 12_000
-#: Hash buckets, buckets that take part (those whose presence tells labels apart best), rank, epochs.
-BITS, ACTIVE, RANK, EPOCHS, SEED = 20, 2048, 4, 30, 7
+#: Hash buckets, rank, epochs. The buckets that take part tell labels apart alone or in a pair; documents that a bucket or a pair must have.
+BITS, RANK, EPOCHS, SEED, SUPPORT = 20, 4, 30, 7, 5
 FOLDS = 5
 _TERM = regex.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -93,7 +93,48 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(rows: list[tuple[int, bytes]], bits: int = BITS, active: int = ACTIVE, rank: int = RANK, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def paired(sets: list[np.ndarray], y: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Buckets of pairs that tell what neither bucket tells alone, whatever their own share of toxic documents.
+
+    A pair of ``SUPPORT`` toxic documents or more tells if so many toxic ones among
+    those that have both would come by chance, at the greater of the two buckets' shares, less than once in
+    a hundred such screenings of all pairs (Chernoff's bound on the binomial tail).
+    """
+    use = np.flatnonzero((a >= SUPPORT) & (c >= SUPPORT))
+    if len(use) < 2:
+        return use[:0]
+    place = np.full(len(c), -1, np.int32)
+    place[use] = np.arange(len(use), dtype=np.int32)
+    docs = [p[p >= 0] for p in (place[s] for s in sets)]
+    flat, width = np.concatenate(docs), np.array([len(d) for d in docs])
+    at, m = np.concatenate(([0], np.cumsum(width))), len(use)
+    order = np.argsort(flat, kind="stable").astype(np.int32)
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), width)[order]
+    edges = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=m))))
+    del order
+    share, beyond, told = a[use] / c[use], np.log(m * (m - 1) / 2 / 0.01), np.zeros(m, bool)
+    for i in range(m):
+        both, toxic = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        has = owner[edges[i] : edges[i + 1]]
+        for lo in range(0, len(has), 1000):  # bounded copies for words that stand in most documents
+            for ids, counts in ((has[lo : lo + 1000], both), (has[lo : lo + 1000][y[has[lo : lo + 1000]] > 0], toxic)):
+                if len(ids):
+                    counts += np.bincount(np.concatenate([flat[at[d] : at[d + 1]] for d in ids]), minlength=m)
+        j = np.flatnonzero(toxic >= SUPPORT)
+        j = j[j > i]
+        k, n, q = toxic[j], both[j], np.maximum(share[i], share[j])
+        f = k / n
+        more = (f > q) & (q < 1)
+        j, k, n, q, f = j[more], k[more], n[more], q[more], f[more]
+        clean = np.where(k < n, (n - k) * np.log(np.maximum(1 - f, 1e-12) / (1 - q)), 0)
+        hit = j[k * np.log(f / q) + clean > beyond]
+        if len(hit):
+            told[i] = True
+            told[hit] = True
+    return use[told]
+
+
+def train(rows: list[tuple[int, bytes]], bits: int = BITS, rank: int = RANK, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Fits the machine; deterministic. No rows or one class only: a model that gives the base rate."""
     y = np.array([t for t, _ in rows], np.float64)
     sets = [np.frombuffer(b, np.uint32) for _, b in rows]
@@ -107,9 +148,8 @@ def train(rows: list[tuple[int, bytes]], bits: int = BITS, active: int = ACTIVE,
         c[s] += 1  # a set has a bucket once
         a[s] += t
     expect = c * (pos / n)
-    chi = np.where(c >= 5, (a - expect) ** 2 / np.maximum(expect * (1 - pos / n), 1e-9), 0)
-    best = np.lexsort((np.arange(1 << bits), -chi))[:active]
-    best = np.sort(best[chi[best] > 6.6]).astype(np.uint32)  # one in a hundred by chance
+    chi = np.where(c >= SUPPORT, (a - expect) ** 2 / np.maximum(expect * (1 - pos / n), 1e-9), 0)
+    best = np.union1d(np.flatnonzero(chi > 6.6), paired(sets, y, a, c)).astype(np.uint32)  # 6.6: one in a hundred by chance
     if not len(best):
         return none
     model = Model(bits, best, base, np.zeros(len(best)), np.random.default_rng(seed).normal(0, 0.01, (len(best), rank)))
@@ -198,7 +238,7 @@ class Scorer:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row. A null or empty text has no terms and gets the base score."""
     rows = binary_text(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col)
-    held = docs.sparkSession.sparkContext.broadcast(model.parts())  # ACTIVE buckets of RANK + 1 numbers
+    held = docs.sparkSession.sparkContext.broadcast(model.parts())  # buckets that take part, of RANK + 1 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return trimmed(scores(batches))

@@ -297,6 +297,20 @@ def test_toxicity_learns_interactions():
     assert p("insult", "group") > 0.5 > max(p("insult"), p("group"), p())
 
 
+def test_toxicity_learns_pairs_of_words_that_tell_nothing_alone():
+    """A fifth of all documents is toxic, and a fifth of those with either word: only both together tell."""
+    rng = np.random.default_rng(4)
+    rows, of = [], toxicity._Buckets(16)
+    for k in range(4000):
+        toxic = k % 5 == 0
+        said = ("insult", "group") if k % 25 == 0 else ("slur",) if toxic else ("insult",) if k % 25 in (1, 2, 3, 4) else ("group",) if k % 25 in (6, 7, 8, 9) else ()
+        words = [f"f{x}" for x in rng.integers(0, 50, 8)] + list(said)
+        rows.append((int(toxic), of.of(w.encode() for w in words).tobytes()))
+    m = toxicity.train(rows, bits=16)
+    p = lambda *w: m.score(m.places(of.of(x.encode() for x in w)))
+    assert p("insult", "group") > 0.5 > max(p("insult"), p("group"), p())
+
+
 def test_toxicity_odd(odd, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(odd, toxicity.fit(odd, none)).collect()
