@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space; ``bytes.split()`` cuts at exactly these.
@@ -64,10 +64,23 @@ class Scratch:
         df.write.option("compression", "zstd").option("path", f"{self.path}/{self.n:02d}-{name}").bucketBy(n, key).sortBy(key).saveAsTable(name)
         return self.spark.table(name)
 
-    def drop(self, df: DataFrame) -> None:
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(docs: DataFrame, name: str = "row") -> DataFrame:
+    """The caller's rows as one struct column, so that no name of theirs meets a name of ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None, name: str = "row") -> DataFrame:
+    """The columns of ``docs`` again, those in ``changed`` with new values of the same types."""
+    kinds = dict(docs.dtypes)
+    return df.select(*((changed[c].cast(kinds[c]) if changed and c in changed else F.col(f"{name}.`{c}`")).alias(c) for c in docs.columns))
 
 
 def for_long_texts(spark: SparkSession, rows: int = 1000) -> None:

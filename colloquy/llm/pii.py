@@ -1,28 +1,35 @@
 """Personal data: base patterns, and information-theoretic sanitisation, in DataFrame functions only.
 
 The base patterns give the protected entities: the distinct values of e-mail
-addresses, network addresses, card and phone numbers. Terms (runs of letters)
-within ``REACH`` code points of a mention are candidates. Over the whole corpus,
-n(t, e) counts the documents where t stands near e, n(e) those that mention e,
-n(t) those that have t anywhere, N all. A term reveals
+addresses, network addresses, card and phone numbers. Terms are runs of letters
+and digits outside all base spans. Over the whole corpus and whole texts, n(t, e)
+counts the documents that have both, n(e) and n(t) those that have one, N all. A
+term reveals
 
     PMI(t; e) / IC(e),  PMI = log(n(t, e) N / (n(t) n(e))),  IC(e) = log(N / n(e)),
 
-of the entity: 1 if the entity always comes with the term. Terms with at least
-``SUPPORT`` joint documents and a share of ``GENERALISE`` or more are replaced by
-a general word wherever they stand near that entity; of ``REMOVE`` or more, removed.
+of the entity: 1 if the entity always comes with the term. A term with a share of
+``GENERALISE`` or more is replaced by a general word wherever it stands, in
+documents that don't mention the entity too; of ``REMOVE`` or more, removed.
 
-That is ``detect``, which has SQL. ``sanitise`` counts n(t, e) over whole documents,
-however far t stands from e, and rewrites every occurrence of a telling term, in
-documents that don't mention the entity too; terms are what stands outside spans.
+Evidence: ``SUPPORT`` joint documents; that the term is a part of the address
+itself (``smith`` of ``j.smith@...``) counts as two of them, so that entities of a
+single document have terms as well. A word that merely stands once beside an
+entity that stands once is no evidence: every rare word or typing error would go.
+
+Work per text is linear, up to ten million matches: positions are running sums over
+blocks of 256, and pieces are cut from an encoding of fixed width. Entities that stand in
+the same documents have the same counts and are counted as one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, packed, small, unpacked
 
 #: Kinds in their order, with their patterns. Possessive forms of the contract's patterns: they match
 #: the same and neither recurse nor go back over long runs (a run of characters is entered once, at its start).
@@ -36,201 +43,234 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 #: What a text must have for a pattern to be tried.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
-REACH, SUPPORT, GENERALISE, REMOVE = 48, 3, 0.7, 0.9
-TERM = r"\p{L}{3,}+"
-GENERAL = "[TERM]"
+SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
+#: A term; what a part of an address counts for; how long such a part must be.
+TERM, OWN, OWN_LENGTH = r"[\p{L}\p{M}\p{N}]{2,}+", 2, 3
+#: What takes the place of a term: by what it is made of.
+GENERAL = {r"^\p{N}+$": "[NUMBER]", r"\p{N}": "[CODE]", "": "[TERM]"}
+_BLOCK = 256
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once, however often ``body`` names it, in lambdas too."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def running(values: str, op: Callable[[str, str], str]) -> str:
+    """Running folds of an array<int> with one item at least by an associative ``op`` (0 is neutral): plainly within blocks, then over the blocks' last values."""
+
+    def plain(v: str) -> str:
+        now = op("acc.at", "nxt")
+        return f"aggregate({v}, named_struct('at', 0, 'out', cast(array() as array<int>)), (acc, nxt) -> named_struct('at', {now}, 'out', concat(acc.out, array({now}))), acc -> acc.out)"
+
+    blocks = f"transform(sequence(0, cast(floor((size(vals) - 1) / {_BLOCK}) as int)), blk -> {plain(f'slice(vals, blk * {_BLOCK} + 1, {_BLOCK})')})"
+    late = f"transform(one, val -> {op('get(tops, nth - 1)', 'val')})"
+    whole = f"flatten(transform(blks, (one, nth) -> if(nth = 0, one, {late})))"
+    return _let(values, "vals", _let(blocks, "blks", _let(plain("transform(blks, one -> element_at(one, -1))"), "tops", whole)))
+
 
+def _plus(a: str, b: str) -> str:
+    return f"({a} + {b})"
 
-def _luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
-    from_right = F.split(F.reverse(digits), "")
-    doubled = F.transform(from_right, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.element_at(F.array(*(F.lit(v) for v in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), d.cast("int") + 1)))
-    return F.aggregate(doubled, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
+def _greatest(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
 
-def _holds(kind: str, m: Column) -> Column:
-    digits = F.regexp_replace(m, r"[^0-9]++", "")
+
+def _holds(kind: str, m: str) -> str:
+    """Whether a match counts: parts of an address at most 255, numbers of digits, Luhn's check."""
+    digits = rf"regexp_replace({m}, r'[^0-9]++', '')"
     if kind == "ip":
-        return m.rlike(r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]|)(?:\.|$)){4}$")
+        return rf"{m} rlike r'^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]|)(?:\.|$)){{4}}$'"
     if kind == "card":
-        return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
+        doubled = "transform(split(reverse(digits), ''), (d, i) -> if(i % 2 = 0, cast(d as int), get(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), cast(d as int))))"
+        return _let(digits, "digits", f"if(length(digits) between 12 and 19, aggregate({doubled}, 0, (a, d) -> a + coalesce(d, 0)) % 10 = 0, false)")
     if kind == "phone":
-        return F.length(digits).between(9, 15)
-    return F.lit(True)
+        return f"length({digits}) between 9 and 15"
+    return "true"
 
 
-def positions(text: Column, pattern: str) -> Column:
+def positions(text: str, pattern: str) -> str:
     """array<struct<start, end, value>> of a pattern's matches, leftmost first, without overlaps, in code points."""
-    empty = "array<struct<start:int,end:int,value:string>>"
-    return F.aggregate(
-        F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("s")),
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + F.char_length(x["g"]) + F.char_length(x["m"])).alias("at"),
-                F.concat(acc["s"], F.array(F.struct((acc["at"] + F.char_length(x["g"])).alias("start"), (acc["at"] + F.char_length(x["g"]) + F.char_length(x["m"])).alias("end"), x["m"].alias("value")))).alias("s"),
-            )
-        ),
-        lambda acc: acc["s"],
-    )
-
-
-def _found(text: Column, kind: str) -> Column:
+    parts = f"transform(split({text}, r'{pattern}', -1), (g, i) -> named_struct('g', char_length(g), 'm', get(found, i)))"
+    ends = running("transform(parts, x -> x.g + coalesce(char_length(x.m), 0))", _plus)
+    at = "filter(transform(parts, (x, i) -> named_struct('start', get(ends, i) - char_length(x.m), 'end', get(ends, i), 'value', x.m)), x -> x.value is not null)"
+    return _let(f"regexp_extract_all({text}, r'{pattern}', 0)", "found", _let(parts, "parts", _let(ends, "ends", at)))
+
+
+def _found(text: str, kind: str) -> str:
     """array<struct<start, kind, end, value>> of a kind's spans."""
-    empty = "array<struct<start:int,kind:int,end:int,value:string>>"
-    kept = F.filter(positions(text, PATTERNS[kind]), lambda s: _holds(kind, s["value"]))
-    shaped = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    return F.when(text.rlike(NEEDS[kind]), shaped).otherwise(F.array().cast(empty))
+    kept = f"filter({positions(text, PATTERNS[kind])}, s -> {_holds(kind, 's.value')})"
+    shaped = f"transform({kept}, s -> named_struct('start', s.start, 'kind', {KINDS.index(kind)}, 'end', s.end, 'value', s.value))"
+    return f"if({text} rlike r'{NEEDS[kind]}', {shaped}, cast(array() as {_SPANS}))"
 
 
-def _listed(spans: Column) -> Column:
+def _listed(spans: str) -> str:
     """kind:start:end by start, then kind, comma-joined."""
-    names = F.array(*(F.lit(k) for k in KINDS))
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return f"array_join(transform(array_sort({spans}), s -> concat_ws(':', get(array({names}), s.kind), cast(s.start as string), cast(s.end as string))), ',')"
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: str) -> str:
     """array<struct<start, kind, end, value>> of the base kinds in the order of start, then kind."""
-    return F.array_sort(F.flatten(F.array(*(_found(text, k) for k in PATTERNS))))
+    return f"array_sort(concat({', '.join(_found(text, k) for k in PATTERNS)}))"
+
 
+def pieces(text: str, spans: str) -> str:
+    """array<struct<lo, text, kind>>: what stands between spans (sorted), each with the kind of the span that follows it (null at the end).
+
+    Of overlapping spans the one that starts first decides; what the others
+    cover beyond it is no piece either.
+    """
+    last = f"named_struct('start', char_length({text}), 'kind', cast(null as int), 'end', char_length({text}), 'value', cast(null as string))"
+    # four bytes a code point: cutting does not read what stands before. The blank keeps a leading byte order mark a character
+    part = "substring(decode(concat(X'00000020', substring(wide, lo * 4 + 1, (hi - lo) * 4)), 'UTF-32'), 2)".replace("lo", "x.lo").replace("hi", "x.hi")
+    free = "filter(transform(all, (x, i) -> named_struct('lo', if(i = 0, 0, get(reach, i - 1)), 'hi', x.start, 'kind', x.kind)), x -> x.hi >= x.lo)"
+    cut = f"transform({free}, x -> named_struct('lo', x.lo, 'text', {part}, 'kind', x.kind))"
+    several = _let(f"concat({spans}, array({last}))", "all", _let(running("transform(all, x -> x.end)", _greatest), "reach", _let(f"encode({text}, 'UTF-32')", "wide", cut)))
+    return f"if(size({spans}) > 0, {several}, array(named_struct('lo', 0, 'text', {text}, 'kind', cast(null as int))))"
 
-def _near(text: Column, spans: Column) -> Column:
-    """array<struct<term, entity, start, end>>: terms that stand whole within REACH of a span and outside all spans."""
-    n = F.char_length(text)
 
-    def terms(s: Column, lo: Column, hi: Column) -> Column:
-        inside = F.transform(positions(F.substring(text, lo + 1, hi - lo), TERM), lambda t: F.struct(F.lower(t["value"]).alias("term"), _entity(s).alias("entity"), (t["start"] + lo).alias("start"), (t["end"] + lo).alias("end")))
-        whole = lambda t: ((t["start"] > lo) | (lo == 0) | (lo == s["end"])) & ((t["end"] < hi) | (hi == n) | (hi == s["start"]))
-        free = lambda t: ~F.exists(spans, lambda o: (t["start"] < o["end"]) & (t["end"] > o["start"]))
-        return F.filter(inside, lambda t: whole(t) & free(t))
+#: The distinct entities of ``spans``; the values of its e-mail addresses.
+_ENTITIES = "array_distinct(transform(spans, s -> concat_ws(':', cast(s.kind as string), s.value)))"
+_ADDRESSES = "array_distinct(transform(filter(spans, s -> s.kind = 0), s -> s.value))"
 
-    each = F.transform(spans, lambda s: F.concat(terms(s, F.greatest(F.lit(0), s["start"] - REACH), s["start"]), terms(s, s["end"], F.least(n, s["end"] + REACH))))
-    return F.flatten(each)
 
+def _terms(text: str) -> str:
+    """Distinct terms of a text, in lower case."""
+    return f"array_distinct(transform(regexp_extract_all({text}, r'{TERM}', 0), t -> lower(t)))"
 
-def _entity(s: Column) -> Column:
-    return F.concat_ws(":", s["kind"].cast("string"), s["value"])
 
+def _own(value: str) -> str:
+    """Terms that are parts of an address."""
+    return f"filter({_terms(value)}, t -> char_length(t) >= {OWN_LENGTH})"
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(found, terms): found has doc_id, id0, h, spans for every row; terms has id0, h and ``added``, the method's spans, where there are any.
+
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    return [F.coalesce(doc_id, F.lit(0).cast("long")).alias("id0"), F.xxhash64(doc_id.isNull(), text).alias("h")]
+
+
+def _profiles(some: DataFrame, n_all: int, scratch: Scratch) -> DataFrame:
+    """(row, profile, n_e): the entities of ``SUPPORT`` documents or more that each row names; entities of the same documents are one profile."""
+    named = some.select("row", F.explode(F.expr(_ENTITIES)).alias("entity"))
+    sums = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k), "row"), 34)).alias(f"s{k}") for k in range(3)]  # 90 bits that tell sets of documents apart
+    sets = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), *sums).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n_all))
+    first = scratch.table(sets.groupBy("n_e", "s0", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "profiles", "snappy")
+    return named.join(small(first), "entity").select("row", F.col("entity").alias("profile"), "n_e")
+
+
+def infer(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(found, verdicts): found has doc_id, id0, h, spans for every row; verdicts has id0, h and ``said``, term -> what takes its place, where a telling term stands.
 
     (id0, h), the id and a hash of the text, stands for a row; repeated rows
     have the same spans. Null texts are empty and have none. Counts are over all
-    rows of ``docs``, repeated ones as often as they occur.
+    rows of ``docs`` and whole texts, repeated rows as often as they occur.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
-    spanned = rows.select("doc_id", *_keys(F.col("doc_id"), F.col("t")), "t", base_spans(F.col("t")).alias("spans"))
-    near = F.when(F.size("spans") > 0, _near(F.col("t"), F.col("spans")))
-    found = scratch.table(spanned.select("doc_id", "id0", "h", "spans", near.alias("near")), "found", "snappy")
-    n_all = found.count()
-    some = found.where("size(near) > 0")
-    joint = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["term"].alias("term"), x["entity"].alias("entity"))))).alias("p")).select("p.term", "p.entity").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    if joint.isEmpty():
-        return found, found.limit(0).select("id0", "h", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("added"))
-    n_e = found.where("size(spans) > 0").select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    # n(t) is at least the number of documents where t stands near anything, and at most this if t is to tell: common words go before the corpus is counted
-    n_near = some.select(F.explode(F.array_distinct(F.col("near.term"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    most = F.col("n_te") * F.lit(float(n_all)) / F.col("n_e") * F.pow(F.col("n_e") / F.lit(float(n_all)), F.lit(GENERALISE))
-    rare = scratch.table(joint.join(n_e, "entity").join(n_near, "term").where((F.col("n_e") < n_all) & (F.col("n_near") <= most * (1 + 1e-9))).drop("n_near"), "rare", "snappy")
-    all_terms = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col("t"), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    n_t = all_terms.join(small(rare.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    share = F.log(F.col("n_te") * F.lit(float(n_all)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n_all)) / F.col("n_e"))
-    telling = scratch.table(rare.join(n_t, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("term", "entity", "share"), "telling", "snappy")
-    hits = some.select("id0", "h", F.explode("near").alias("x")).select("id0", "h", "x.*").join(small(telling), ["term", "entity"])
-    shaped = F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end", F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(F.lit(GENERAL)).alias("value"))
-    # one span a place: near two entities, what removes wins
-    terms = hits.groupBy("id0", "h", "start", "end").agg(F.max("share").alias("share")).groupBy("id0", "h").agg(F.array_sort(F.collect_list(shaped)).alias("added"))
-    return found, terms
-
-
-def _keys(doc_id: Column, text: Column) -> list[Column]:
-    return [F.coalesce(doc_id, F.lit(0)).alias("id0"), F.xxhash64(doc_id.isNull(), text).alias("h")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).select("doc_id", *_keys(F.col("doc_id"), F.col("t")), "t")
+    between = f"array_join(transform({pieces('t', 'spans')}, p -> p.text), '\\n')"
+    spanned = rows.withColumn("spans", F.expr(base_spans("t"))).withColumn("terms", F.when(F.size("spans") > 0, F.expr(_terms(between))))
+    own = F.expr(f"flatten(transform({_ADDRESSES}, v -> {_own('v')}))")
+    # numbered once, as written: each row counts, repeated ones too
+    found = scratch.table(spanned.select(F.monotonically_increasing_id().alias("row"), "doc_id", "id0", "h", "spans", "terms", F.when(F.size("spans") > 0, F.array_intersect("terms", own)).alias("own")), "found", "snappy")
+    n_all, some = found.count(), found.where("size(spans) > 0")
+    none = found.limit(0).select("id0", "h", F.create_map().cast("map<string,string>").alias("said"))
+    known = scratch.table(_profiles(some, n_all, scratch), "known", "snappy")
+    # what is a part of an address beside it: the address may stand in this document only
+    having = some.where("size(own) > 0").select("row", "spans", "own")
+    beside = having.select("row", F.explode(F.expr(_ADDRESSES)).alias("value")).select("row", F.concat(F.lit("0:"), F.col("value")).alias("entity"), F.explode(F.expr(_own("value"))).alias("term"))
+    beside = scratch.table(beside.join(having.select("row", F.explode("own").alias("term")), ["row", "term"]).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")), "beside", "snappy")
+    most = known.agg(F.max("n_e")).first()[0]
+    if most is None and beside.isEmpty():
+        scratch.drop(known, beside)
+        return found, none
+    n = float(n_all)
+    share = lambda n_t: F.log(F.col("n_te") * F.lit(n) / (n_t * F.col("n_e"))) / F.log(F.lit(n) / F.col("n_e"))
+    # n(t) is at least the number of documents with spans that have t, and n(t, e) is n(e) at most: what even then tells too little goes before pairs are made
+    n_some = some.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_some"))
+    n_some = scratch.table(n_some, "some", "snappy")
+    rare = n_some.where(F.col("n_some") <= F.lit(_most(n, most or 1) * (1 + 1e-9)))
+    inside = some.where(F.lit(most is not None)).select("row", F.explode("terms").alias("term")).join(small(rare), "term")
+    fits = F.col("n_some") <= F.pow(F.lit(n), F.lit(1 - GENERALISE)) * F.pow(F.col("n_e"), F.lit(GENERALISE)) * (1 + 1e-9)
+    joint = inside.join(known, "row").where(fits).groupBy("term", "profile", "n_e").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT).select("term", "n_e", "n_te")
+    n_own = some.where("size(own) > 0").select(F.explode(F.expr(_ENTITIES)).alias("entity"))
+    n_own = some.select(F.explode(F.expr(_ENTITIES)).alias("entity")).join(small(n_own.distinct()), "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    alone = beside.where(F.col("n_te") >= SUPPORT - OWN).join(n_own, "entity").where(F.col("n_e") < n_all).select("term", "n_e", "n_te")
+    # of a term's entities only the one that it tells most of counts: that with the largest share, whatever n(t) turns out to be at least n_some
+    pairs = scratch.table(joint.unionByName(alone).distinct().join(n_some, "term").where(share(F.col("n_some")) >= GENERALISE - 1e-9), "pairs", "snappy")
+    wanted = small(pairs.select("term").distinct())
+    plain = rows.join(small(some.select("id0", "h").distinct()), ["id0", "h"], "left_anti").select("id0", "h", F.expr(_terms("t")).alias("terms"))
+    every = some.select("id0", "h", "terms").unionByName(plain).select("id0", "h", F.explode("terms").alias("term"))
+    at = scratch.table(every.join(wanted, "term", "left_semi"), "at", "snappy")
+    n_t = at.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    best = pairs.join(n_t, "term").groupBy("term").agg(F.max(share(F.col("n_t"))).alias("share")).where(F.col("share") >= GENERALISE)
+    telling = scratch.table(best.select("term", F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(_general(F.col("term"))).alias("value")), "telling", "snappy")
+    said = at.join(small(telling), "term").groupBy("id0", "h").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("said"))
+    verdicts = scratch.table(said, "verdicts", "snappy")
+    scratch.drop(known, beside, n_some, pairs, at, telling)
+    return found, verdicts
 
 
-def _count(spans: Column, kind: int) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+def _most(n_all: float, n_e: float) -> float:
+    """The most documents that a term may be in if it is to tell of an entity of ``n_e``."""
+    return n_all ** (1 - GENERALISE) * n_e**GENERALISE
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term: a row for each row of ``docs``."""
-    found, terms = find(docs, id_col, text_col)
-    distinct = terms.dropDuplicates(["id0", "h"])
-    rows = found.select("doc_id", "id0", "h", "spans").join(distinct, ["id0", "h"], "left")
-    added = F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
-    counts = [_count(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
-    return rows.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.concat("spans", added)).alias("all_spans"), F.size(added).cast("long").alias("n_term")).withColumnRenamed("all_spans", "spans")
+def _general(term: Column) -> Column:
+    out = F.lit(GENERAL[""])
+    for pattern, word in reversed([x for x in GENERAL.items() if x[0]]):
+        out = F.when(term.rlike(pattern), F.lit(word)).otherwise(out)
+    return out
 
 
-def _rewritten(text: Column, spans: Column, piece) -> Column:
-    """``text`` with each span's value in its place and ``piece`` of what stands between. The span that starts first decides; what others cover beyond it goes too."""
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece(F.substring(text, acc["at"] + 1, s["start"] - acc["at"])), s["value"])).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], piece(F.substring(text, acc["at"] + 1, F.char_length(text)))),
-    )
+def _term_spans(text: str, spans: str, said: str) -> str:
+    """The spans of telling terms, outside ``spans``."""
+    kept = f"filter({positions('p.text', TERM)}, t -> map_contains_key({said}, lower(t.value)))"
+    return f"flatten(transform({pieces(text, spans)}, p -> transform({kept}, t -> named_struct('start', t.start + p.lo, 'kind', {len(PATTERNS)}, 'end', t.end + p.lo, 'value', lower(t.value)))))"
 
 
-def _valued(spans: Column, value) -> Column:
-    """Spans with ``value`` of each in place of its own."""
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), value(s).alias("value")))
+def _counts() -> list[Column]:
+    return [F.expr(f"size(filter(spans, s -> s.kind = {i}))").cast("long").alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
 
 
-def infer(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, verdicts): found has id0, h, spans for every row; verdicts has id0, h and ``said``, term -> what takes its place, where a telling term stands.
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term: a row for each row of ``docs``.
 
-    Counts are over whole documents and all rows.
+    Null texts are empty; repeated rows give repeated rows; other columns are
+    not looked at; an empty table gives an empty table.
     """
-    scratch = Scratch(docs.sparkSession, "infer")
-    rows = docs.select(*_keys(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).alias("t"))
-    lowered = lambda t: F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), F.lower))
-    between = _rewritten(F.col("t"), _valued(F.col("spans"), lambda s: F.lit("\n")), lambda x: x)
-    found = scratch.table(rows.withColumn("spans", base_spans(F.col("t"))).select("id0", "h", "spans", F.when(F.size("spans") > 0, lowered(between)).alias("terms")), "found", "snappy")
-    n_all, some = float(found.count()), found.where("size(spans) > 0")
-    named = some.select("terms", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    # n(t, e) is n(e) at most: only entities of so many documents can have terms
-    known = scratch.table(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n_all)), "known", "snappy")
-    if known.isEmpty():
-        return found, found.limit(0).select("id0", "h", F.create_map().cast("map<string,string>").alias("said"))
-    joint = named.join(small(known), "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    # n(t) is at least the number of documents with spans that have t: terms that even then tell too little go before the corpus is counted
-    share = lambda n_t: F.log(F.col("n_te") * F.lit(n_all) / (n_t * F.col("n_e"))) / F.log(F.lit(n_all) / F.col("n_e"))
-    n_some = some.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_some"))
-    rare = scratch.table(joint.join(n_some, "term").where(share(F.col("n_some")) >= GENERALISE - 1e-9).drop("n_some"), "rare", "snappy")
-    plain = rows.join(small(some.select("id0", "h").distinct()), ["id0", "h"], "left_anti").select("id0", "h", lowered(F.col("t")).alias("terms"))
-    every = some.select("id0", "h", "terms").unionByName(plain).select("id0", "h", F.explode("terms").alias("term"))
-    at = scratch.table(every.join(small(rare.select("term").distinct()), "term", "left_semi"), "at", "snappy")
-    n_t = at.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    best = rare.join(n_t, "term").groupBy("term").agg(F.max(share(F.col("n_t"))).alias("share")).where(F.col("share") >= GENERALISE)
-    telling = scratch.table(best.select("term", F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(F.lit(GENERAL)).alias("value")), "telling", "snappy")
-    verdicts = at.join(small(telling), "term").groupBy("id0", "h").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("said"))
-    return found, scratch.table(verdicts, "verdicts", "snappy")
+    found, verdicts = infer(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t")).select(*_keys(F.col("i"), F.col("t")), "t")
+    telling = rows.join(small(verdicts), ["id0", "h"]).dropDuplicates(["id0", "h"]).join(found.select("id0", "h", "spans").dropDuplicates(["id0", "h"]), ["id0", "h"])
+    added = telling.select("id0", "h", F.expr(_term_spans("t", "spans", "said")).alias("added"))
+    out = found.select("doc_id", "id0", "h", "spans").join(added, ["id0", "h"], "left").withColumn("added", F.coalesce("added", F.array().cast(_SPANS)))
+    base = F.sha2(F.expr(_listed("spans")), 256).alias("base_sha256")
+    return out.select("doc_id", *_counts(), base, F.expr(_listed("concat(spans, added)")).alias("all_spans"), F.size("added").cast("long").alias("n_term")).withColumnRenamed("all_spans", "spans")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` (and ``n_chars``) rewritten: base spans become [EMAIL], [IP], [CARD], [PHONE]; telling terms go or become [TERM] wherever they stand.
+    """``docs`` with ``text`` (and ``n_chars``) rewritten: base spans become [EMAIL], [IP], [CARD], [PHONE]; telling terms go or become a general word wherever they stand.
 
     Where spans overlap, the one that starts first decides, and what the others
-    cover beyond it goes too. Texts without spans and telling terms, null ones included, stay as they are.
+    cover beyond it goes too. Texts without spans and telling terms, null ones
+    included, stay as they are; repeated rows stay repeated; columns of any
+    other name pass through; an empty table gives an empty table.
     """
     found, verdicts = infer(docs)
-    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in PATTERNS))
-    marked = found.where("size(spans) > 0").dropDuplicates(["id0", "h"]).select("id0", "h", F.array_sort(_valued(F.col("spans"), lambda s: F.element_at(marks, s["kind"] + 1))).alias("__spans"))
-    text, said = F.col("text"), F.col("said")
-
-    def without_terms(piece: Column) -> Column:
-        parts = F.arrays_zip(F.split(piece, TERM, -1).alias("g"), F.regexp_extract_all(piece, F.lit(TERM), F.lit(0)).alias("m"))
-        put = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(F.element_at(said, F.lower(x["m"])), x["m"], F.lit("")))), "")
-        return F.when(said.isNull(), piece).otherwise(put)
-
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    keyed = docs.withColumns(dict(zip(("id0", "h"), _keys(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))), strict=True)))
-    out = keyed.join(small(marked), ["id0", "h"], "left").join(small(verdicts), ["id0", "h"], "left").withColumn("__hit", F.col("__spans").isNotNull() | said.isNotNull())
-    out = out.withColumn("text", F.when(F.col("__hit"), _rewritten(text, F.coalesce("__spans", none), without_terms)).otherwise(text))
-    return out.withColumn("n_chars", F.when(F.col("__hit"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    spanned = found.where("size(spans) > 0").select("id0", "h", "spans").dropDuplicates(["id0", "h"])
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    keyed = packed(docs).select("row", *_keys(F.col("row.doc_id").cast("long"), text), text.alias("t"))
+    out = keyed.join(small(spanned), ["id0", "h"], "left").join(small(verdicts), ["id0", "h"], "left")
+    out = out.withColumn("hit", F.col("spans").isNotNull() | F.col("said").isNotNull()).withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    put = "concat(g, coalesce(element_at(said, lower(get(found, i))), get(found, i), ''))"
+    written = _let(f"regexp_extract_all(p.text, r'{TERM}', 0)", "found", f"array_join(transform(split(p.text, r'{TERM}', -1), (g, i) -> {put}), '')")
+    marks = ", ".join(f"'[{k.upper()}]'" for k in PATTERNS)
+    whole = f"array_join(transform({pieces('t', 'spans')}, p -> concat(if(said is null, p.text, {written}), coalesce(get(array({marks}), p.kind), ''))), '')"
+    out = out.withColumn("new", F.when(F.col("hit"), F.expr(whole)).otherwise(F.col("row.text")))
+    changed = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("hit"), F.char_length("new").cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(out, docs, changed)

@@ -164,6 +164,7 @@ _SPANS_SQL = " UNION ALL ".join(
         )
     )
 )
+_TERM_SQL = r"[\p{L}\p{M}\p{N}]{2,}"
 OP1_SQL = rf"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -178,29 +179,34 @@ WITH t AS (
   WHERE CASE kind WHEN 1 THEN list_aggregate(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(try_cast(x AS INT), 999) END), 'max') <= 255
     WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i]::INT WHEN digits[i]::INT > 4 THEN 2 * digits[i]::INT - 9 ELSE 2 * digits[i]::INT END)) % 10 = 0
     WHEN 3 THEN length(digits) BETWEEN 9 AND 15 ELSE true END
-), win AS (
-  SELECT b.doc_id, kind || ':' || v AS entity, length(text) AS n, a, b, text, unnest([greatest(0, a - {pii.REACH}), b]) AS lo, unnest([a, least(length(text), b + {pii.REACH})]) AS hi FROM b JOIN t USING (doc_id)
-), wt AS (
-  SELECT doc_id, entity, n, a, b, lo, hi, regexp_extract_all(text[lo+1:hi], '\p{{L}}{{3,}}') AS m, string_split_regex(text[lo+1:hi], '\p{{L}}{{3,}}') AS g FROM win
-), wu AS (
-  SELECT doc_id, entity, n, a, b, lo, hi, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM wt WHERE len(m) > 0
-), wp AS (
-  SELECT *, (lo + sum(length(gap) + length(v)) OVER (PARTITION BY doc_id, entity, a, b, lo, hi ORDER BY i))::BIGINT AS te FROM wu
-), near AS (
-  SELECT DISTINCT doc_id, entity, lower(v) AS term, te - length(v) AS ts, te FROM wp
-  WHERE (te - length(v) > lo OR lo = 0 OR lo = b) AND (te < hi OR hi = n OR hi = a) AND NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = wp.doc_id AND te - length(v) < o.b AND te > o.a)
+), reached AS (
+  SELECT doc_id, a, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM b
+), pieces AS (
+  SELECT doc_id, lo, a AS hi FROM reached WHERE a >= lo
+  UNION ALL SELECT doc_id, (SELECT coalesce(max(b), 0) FROM b WHERE b.doc_id = t.doc_id), length(text) FROM t
+), cut AS (
+  SELECT doc_id, lo, regexp_extract_all(text[lo+1:hi], '{_TERM_SQL}') AS m, string_split_regex(text[lo+1:hi], '{_TERM_SQL}') AS g FROM pieces JOIN t USING (doc_id)
+), each AS (
+  SELECT doc_id, lo, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM cut WHERE len(m) > 0
+), token AS (
+  SELECT doc_id, lower(v) AS term, length(v) AS size, (lo + sum(length(gap) + length(v)) OVER (PARTITION BY doc_id, lo ORDER BY i))::BIGINT AS te FROM each
+), has AS (
+  SELECT DISTINCT doc_id, term FROM token
+), names AS (
+  SELECT DISTINCT doc_id, kind || ':' || v AS entity, CASE WHEN kind = 0 THEN list_transform(regexp_extract_all(v, '{_TERM_SQL}'), lambda x: lower(x)) ELSE [] END AS own FROM b
 ), total AS (
   SELECT count(*)::DOUBLE AS n FROM documents
 ), te AS (
-  SELECT term, entity, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= {pii.SUPPORT}
+  SELECT term, entity, count(DISTINCT doc_id) AS n_te FROM has JOIN names USING (doc_id) GROUP BY term, entity, own
+  HAVING count(DISTINCT doc_id) + CASE WHEN length(term) >= {pii.OWN_LENGTH} AND list_contains(own, term) THEN {pii.OWN} ELSE 0 END >= {pii.SUPPORT}
 ), ne AS (
-  SELECT kind || ':' || v AS entity, count(DISTINCT doc_id) AS n_e FROM b GROUP BY ALL
+  SELECT entity, count(DISTINCT doc_id) AS n_e FROM names GROUP BY ALL
 ), nt AS (
-  SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}{{3,}}'), lambda x: lower(x)))) AS term FROM t) WHERE term IN (SELECT term FROM te) GROUP BY ALL
+  SELECT term, count(*) AS n_t FROM has GROUP BY ALL
 ), telling AS (
-  SELECT term, entity FROM te JOIN ne USING (entity) JOIN nt USING (term), total WHERE n_e < n AND ln(n_te * n / (n_t * n_e)) / ln(n / n_e) >= {pii.GENERALISE}
+  SELECT DISTINCT term FROM te JOIN ne USING (entity) JOIN nt USING (term), total WHERE n_e < n AND ln(n_te * n / (n_t * n_e)) / ln(n / n_e) >= {pii.GENERALISE}
 ), added AS (
-  SELECT DISTINCT doc_id, 4 AS kind, ts AS a, te AS b FROM near JOIN telling USING (term, entity)
+  SELECT doc_id, 4 AS kind, te - size AS a, te AS b FROM token JOIN telling USING (term)
 ), listed AS (
   SELECT doc_id, a, kind, b, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || a || ':' || b AS s FROM (SELECT doc_id, kind, a, b FROM b UNION ALL SELECT doc_id, kind, a, b FROM added)
 ), o AS (

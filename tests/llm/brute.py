@@ -1,6 +1,7 @@
 """Plain Python versions, written from the operators' definitions."""
 
 import hashlib
+import math
 import re
 import struct
 from collections import Counter, defaultdict
@@ -119,3 +120,56 @@ def targets(sizes):
 
 def ids_bytes(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def pii_pieces(text):
+    """(lo, piece, kind of the span after it) between the base spans."""
+    at, out = 0, []
+    for a, k, b, *_ in spans(text):
+        if a >= at:
+            out.append((at, text[at:a], k))
+        at = max(at, b)
+    return [*out, (at, text[at:], None)]
+
+
+def pii_words(piece):
+    """(start, end, word): maximal runs of two or more letters, marks and digits."""
+    import regex
+
+    return [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]{2,}", piece)]
+
+
+def pii_telling(texts, support=3, own=2, own_length=3, generalise=0.7):
+    """{term: share} of the terms that tell of an entity, over all rows."""
+    per = []
+    for t in texts:
+        terms = {w for _, p, _ in pii_pieces(t or "") for _, _, w in pii_words(p)}
+        per.append((terms, {(k, v) for _, k, _, v in spans(t or "")}))
+    n, n_t, n_e, n_te = len(texts), Counter(), Counter(), Counter()
+    for terms, entities in per:
+        n_t.update(terms)
+        n_e.update(entities)
+        n_te.update((t, e) for e in entities for t in terms)
+    out = {}
+    for (t, e), c in n_te.items():
+        part = e[0] == 0 and len(t) >= own_length and t in {w for _, _, w in pii_words(e[1])}
+        if c + own * part >= support and n_e[e] < n:
+            share = math.log(c * n / (n_t[t] * n_e[e])) / math.log(n / n_e[e])
+            if share >= generalise:
+                out[t] = max(share, out.get(t, 0))
+    return out
+
+
+def pii_sanitised(text, telling, remove=0.9):
+    if text is None:
+        return None
+    out = []
+    for _, piece, kind in pii_pieces(text):
+        at = 0
+        for a, b, w in pii_words(piece):
+            if w in telling:
+                word = "" if telling[w] >= remove else "[NUMBER]" if w.isnumeric() else "[CODE]" if any(c.isnumeric() for c in w) else "[TERM]"
+                out += [piece[at:a], word]
+                at = b
+        out += [piece[at:], "" if kind is None else f"[{list(KINDS)[kind].upper()}]"]
+    return "".join(out)

@@ -41,30 +41,53 @@ def test_pii_patterns(spark):
         assert got[i] == brute.sha(brute.listed(brute.spans(t))), t
 
 
-def test_pii_terms_and_sanitise(spark):
-    texts = [f"the agent Zorblax is at mail zz.{k % 2}@mail.example.com and more words the {'pad ' * k}" for k in range(8)] + ["the and more words is at mail the"] * 40
-    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r for r in pii.detect(df).collect()}
-    # "zorblax" and "agent" stand near both addresses, in half of their documents each
-    n, joint, n_t, n_e = len(texts), 4, 8, 4
-    share = math.log(joint * n / (n_t * n_e)) / math.log(n / n_e)
-    expect = [texts[0].index("agent"), texts[0].index("Zorblax")] if share >= pii.GENERALISE else []
-    terms = [int(s.split(":")[1]) for s in got[0].spans.split(",") if s.startswith("term")]
-    assert terms == expect and got[40].spans == ""
-    out = {r.doc_id: r for r in pii.sanitise(df).collect()}
-    assert "@" not in out[0].text and "[EMAIL]" in out[0].text and "[TERM]" in out[0].text and "Zorblax" not in out[0].text
-    assert out[40].text == texts[40] and out[0].n_chars == len(out[0].text)
-    assert pii.sanitise(df).columns == df.columns
-
-
-def test_sanitise_terms_far_from_the_address_and_without_it(spark):
+def planted(spark):
+    """Names beside addresses, near and far; in one document and in many; words between many spans; other names for columns."""
+    rng = np.random.default_rng(8)
     far = "words that all have " * 6
-    texts = [f"Quorlix {far}mail zz@mail.example.com {far}QUORLIX" for _ in range(4)] + [f"{far}quorlix, Quorlixes"] + [f"{far}mail {k}" for k in range(55)]
-    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    # of five documents with the name four mention the address: share log(12) / log(15), so it goes
-    out = {r.doc_id: r for r in pii.sanitise(df).collect()}
-    assert all(out[i].text == f" {far}mail [EMAIL] {far}" for i in range(4)) and out[4].text == f"{far}, Quorlixes"
-    assert all(out[i].text == texts[i] for i in range(5, 60)) and all(r.n_chars == len(r.text) for r in out.values())
+    texts = [f"Quorlix {far}mail zz@mail.example.com {far}QUORLIX" for _ in range(4)] + [f"{far}quorlix, Quorlixes", "\ufeffé\U0001f600 a.b@c.de\ufeff \U0001f600 x"]
+    texts += [f"Anna Wexford ({far}) anna.wexford@firm{k}.org or +49 30 123456{k}" for k in range(2)] + [f"agent 4711x9 is 007 at 10.0.0.{k % 2} 1.2.3.4.5.6.7.8" for k in range(8)]
+    texts += [" ".join(f"between{k % 7} u{k}@m{k % 5}.org" for k in range(400)) for _ in range(3)] + [None, "", "+1 667 555 4827x@y.zz"]
+    texts += [" ".join(rng.choice([f"v{k}" for k in range(60)], 30)) for _ in range(150)]
+    rows = [(i, t, "en", "s", 7, 1, 2, b"x", "e") for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, h long, id0 long, __spans binary, said string")
+
+
+@pytest.mark.parametrize("which", ["docs", "planted"])
+def test_pii_terms_and_sanitise(which, request, spark):
+    df = planted(spark) if which == "planted" else request.getfixturevalue(which)
+    rows = rows_of(df)
+    telling = brute.pii_telling([t for _, t in rows])
+    if which == "planted":
+        assert {"quorlix", "wexford", "anna", "4711x9", "between3"} <= set(telling) and "v5" not in telling
+    want = []
+    for i, t in rows:
+        terms = [(lo + a, 4, lo + b) for lo, p, _ in brute.pii_pieces(t or "") for a, b, w in brute.pii_words(p) if w in telling]
+        want.append((i, brute.listed([*brute.spans(t or ""), *terms]), len(terms)))
+    same([(r.doc_id, r.spans, r.n_term) for r in pii.detect(df).collect()], want)
+    out = pii.sanitise(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    expect = []
+    for r in df.collect():
+        new = brute.pii_sanitised(r.text, telling)
+        touched = r.text is not None and (brute.spans(r.text) or new != r.text)
+        expect.append(tuple((r.asDict() | {"text": new, "n_chars": len(new) if touched else r.n_chars}).values()))
+    same(map(repr, map(tuple, out.collect())), map(repr, expect))
+
+
+def test_pii_is_linear_in_the_spans_of_a_text(spark):
+    import time
+
+    def took(k):
+        text = " ".join(f"word{i % 97} user{i}@mail{i % 50}.example.com" for i in range(k))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        assert pii.detect(df).first().n_email == k
+        return time.time() - t
+
+    took(10)
+    assert took(20_000) - took(10) < 10
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
