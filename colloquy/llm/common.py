@@ -72,6 +72,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for a value that is computed once, however often ``body`` names it, in lambdas too."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def packed(docs: DataFrame, name: str = "row") -> DataFrame:
     """The caller's rows as one struct column, so that no name of theirs meets a name of ours."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name))

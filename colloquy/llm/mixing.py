@@ -1,17 +1,22 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-A source's words are packed into blocks of fixed length. Each output shard draws
-how many of its slots go to each source; a source's slots map, epoch by epoch,
-through pseudorandom permutations of its block numbers; slots and blocks join by
-number. The draw is the systematic form of the multinomial: slot m of shard h
-lies at (m + u_h) / M on the sources' cumulative shares, u_h uniform by hash. Its
-expectation is that of independent draws and its counts lie within one of it. A
-source is due target * blocks / size slots, as its last block is partly empty. One
-that is due fewer than a shard holds is not drawn but settled: its slots go on until
-its target, rounded, is reached, and the last slot takes only the words still due.
-
-Hot sources: sizes sum to offsets in two levels, over ``SPREAD`` hashed parts of a
-source, then over the parts' totals; slots and blocks join on (source, number).
+A source's words are packed into blocks of fixed length. The mix has as many
+slots as blocks are due; each output shard draws which source each of its slots
+goes to, without replacement from what the sources are due: the counts are
+multinomial, given that every source comes to its target. A source's slots map,
+epoch by epoch, through pseudorandom permutations of its block numbers; slots and
+blocks join by number.
+
+The draw: all slots are numbered, source after source, and a pseudorandom
+permutation of these numbers gives each its shard and place. So a slot's shard,
+epoch and block follow from its number alone, and slots are made in as many tasks
+as there are. What a source is due is exact: the place of its last block, which is
+partly empty, in a permutation follows from the inverse permutation, so the number
+of slots that hold the target (rounded), and what the last of them still takes,
+are known in closed form.
+
+Hot sources: sizes sum to offsets in two levels, over hashed parts of a source,
+then over the parts' totals; slots and blocks join on (source, number).
 """
 
 from __future__ import annotations
@@ -20,19 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, small
+from .common import WORD, Scratch, let, packed, small, unpacked
 
-#: Words a block, slots a shard, how often a word may be taken, weights in the order of sources, parts of a source.
-BLOCK, SHARD, MOST, WEIGHTS, SPREAD, ROUNDS = 64, 4096, 3, (1, 2, 3), 512, 4
-
-
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def _unit(*keys: Column | int) -> Column:
-    """A number in [0, 1) by hash."""
-    return F.shiftrightunsigned(F.xxhash64(*(F.lit(k) if isinstance(k, int) else k for k in keys)), 11) / F.lit(float(1 << 53))
+#: Words a block, slots a shard, how often a word may be taken, weights in the order of sources, rounds of a permutation.
+BLOCK, SHARD, MOST, WEIGHTS, ROUNDS = 64, 4096, 3, (1, 2, 3), 4
+#: Rows of a part of a source (parts grow with the rows), slots of a task that makes them, ranges of slots that are dealt out at most.
+PART_ROWS, TASK_SLOTS, RANGES = 50_000, 100_000, 100_000
 
 
 def targets(sources: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -57,130 +55,158 @@ def targets(sources: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEI
     return rows.withColumn("target", F.when(F.sum("source_size").over(everyone) > 0, share).otherwise(F.lit(0.0))).drop("__w", "__cap", "__level", "__n")
 
 
-def permuted(x: Column, n: Column, *keys: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1: Feistel rounds over a mixed-radix square that just holds n, walked back into range."""
-    a = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double")))).cast("long")
-    b = F.ceil(n / a).cast("long")
-
-    def once(v: Column) -> Column:
-        left, right = F.floor(v / b).cast("long"), F.pmod(v, b)
-        for k in range(ROUNDS):
-            left = F.pmod(left + F.xxhash64(F.lit(k), right, *keys), a)
-            right = F.pmod(right + F.xxhash64(F.lit(-1 - k), left, *keys), b)
-        return left * b + right
-
-    # the places beyond n are fewer than a: a walk longer than 64 steps would need as many of them in a row
-    first = once(x)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda acc, _: F.when(acc < n, acc).otherwise(once(acc)))
-    return F.when(first < n, first).otherwise(F.pmod(walk, n))
-
+def permuted(x: str, n: str, keys: str, inverse: bool = False) -> str:
+    """A pseudorandom permutation of 0..n-1 at ``x``, or its inverse, in SQL: Feistel rounds over a mixed-radix square that just holds n, walked back into range.
 
-def offsets(docs: DataFrame) -> DataFrame:
-    """Adds ``offset``, where a document's words begin in its source's stream; (doc, source, size) rows."""
-    part = F.pmod(F.xxhash64("doc"), F.lit(SPREAD))
-    rows = docs.withColumn("part", part)
+    Each round names the one before (``let``) instead of repeating it, so the expression stays small.
+    """
+    steps = []  # (half that changes, the other, its modulus)
+    for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+        two = [("lft", "rgt", "wide", k), ("rgt", "lft", "high", -1 - k)]
+        steps += two[::-1] if inverse else two
+    sign = "-" if inverse else "+"
+    once = "lft * high + rgt"
+    for half, other, m, k in reversed(steps):
+        once = let(f"pmod({half} {sign} pmod(xxhash64({k}, {other}, {keys}), {m}), {m})", half, once)
+    once = let("at div high", "lft", let("pmod(at, high)", "rgt", once))
+    # the places beyond n are fewer than the square is wide: a walk longer than 64 steps would need as many of them in a row
+    walk = f"pmod(aggregate(sequence(1, 64), first, (at, i) -> if(at < {n}, at, {once})), {n})"
+    first = let(let(f"cast({x} as bigint)", "at", once), "first", f"if(first < {n}, first, {walk})")
+    return let(f"cast(greatest(1, ceil(sqrt(cast({n} as double)))) as bigint)", "wide", let(f"cast(greatest(1, ceil({n} / wide)) as bigint)", "high", first))
+
+
+def offsets(rows: DataFrame, spread: int) -> DataFrame:
+    """Adds ``offset``, where a row's words begin in its source's stream; (doc, copy, source, size) rows, (doc, copy) distinct."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc", "copy"), F.lit(spread)))
     totals = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
     ahead = totals.withColumn("ahead", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ahead = ahead.select(F.col("source").alias("s"), F.col("part").alias("p"), "ahead")
-    inside = F.coalesce(F.sum("size").over(W.partitionBy("source", "part").orderBy("doc").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("source", "part").orderBy("doc", "copy").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("inside", inside).join(small(ahead), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("offset", F.col("ahead") + F.col("inside")).drop("s", "p", "part", "ahead", "inside")
 
 
-def plan(docs: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(sources, pieces) of rows (doc, source, size), ``doc`` being a row's own key.
-
-    sources: source, source_size, target, and what the slots need. pieces: doc,
-    epoch, first, n: the words first..first+n-1 of a document are taken in that epoch.
+def due(rows: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
+    """A row a source of (source, size) rows: source, source_size, target, blocks, slots (how many it is due), last (words that its last slot takes), base (the number of its first slot)."""
+    sized = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    out = sized.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("want", F.round("target").cast("long"))
+    out = out.withColumn("epoch", F.expr("if(want > 0, want div source_size, 0)")).withColumn("rest", F.expr("if(want > 0, want % source_size, 0)"))
+    # the partly empty block: how many words it lacks, and which slot of the last epoch it is
+    out = out.withColumn("lacks", F.col("blocks") * block - F.col("source_size"))
+    out = out.withColumn("at", F.expr(permuted("greatest(blocks - 1, 0)", "greatest(blocks, 1)", f"{seed}, source, cast(epoch as int)", inverse=True)))
+    m = F.expr(f"if(rest = 0, 0, if(at >= ceil(rest / {block}), ceil(rest / {block}), ceil((rest + lacks) / {block})))").cast("long")
+    out = out.withColumn("m", m).withColumn("slots", F.expr("epoch * blocks + m"))
+    out = out.withColumn("last", F.expr(f"if(rest = 0, {block}, rest - (m - 1) * {block} + if(at < m - 1, lacks, 0))"))
+    # one row a source, as the weights go by the sources' order
+    base = F.coalesce(F.sum("slots").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return out.withColumn("base", base).select("source", "source_size", "target", "blocks", "slots", "last", "base")
+
+
+def slots(sources: DataFrame, seed: int = 1, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """A row a slot of the mix: shard, place (in the shard), source, epoch, b (the block's number), take (words of it that are taken at most)."""
+    every = sources.agg(F.sum("slots")).first()[0] or 0
+    step, tasks = max(shard, -(-every // RANGES)), min(20_000, max(8, every // TASK_SLOTS))
+    ranges = sources.where("slots > 0").withColumn("lo", F.explode(F.expr(f"sequence(0, slots - 1, {step})"))).repartition(tasks, "source", "lo")
+    rows = ranges.select("*", F.explode(F.expr(f"sequence(lo, least(lo + {step}, slots) - 1)")).alias("j")).withColumn("epoch", F.expr("j div blocks"))
+    rows = rows.withColumn("b", F.expr(permuted("j % blocks", "blocks", f"{seed}, source, cast(epoch as int)"))).withColumn("spot", F.expr(permuted("base + j", f"{max(1, every)}L", str(seed))))
+    return rows.select(F.expr(f"spot div {shard}").alias("shard"), F.expr(f"spot % {shard}").alias("place"), "source", F.col("epoch").cast("int").alias("epoch"), "b", F.expr(f"if(j = slots - 1, last, {block})").cast("long").alias("take"))
+
+
+def parts(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The parts of documents in each block of (doc, copy, source, size) rows: doc, copy, size, source, b, into (where it begins in the block), first, n (the words of the document)."""
+    n = rows.count()
+    out = offsets(rows, max(64, n // PART_ROWS)).where("size > 0")
+    out = out.select("doc", "copy", "source", "size", "offset", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("b"))
+    first = F.greatest(F.lit(0), F.col("b") * block - F.col("offset"))
+    out = out.withColumn("first", first).withColumn("n", F.least(F.col("size"), (F.col("b") + 1) * block - F.col("offset")) - F.col("first"))
+    return out.withColumn("into", F.greatest(F.lit(0), F.col("offset") - F.col("b") * block)).drop("offset")
+
+
+def plan(rows: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(sources, pieces) of rows (doc, copy, source, size).
+
+    pieces: doc, copy, epochs (a bit each), first, n: the words first..first+n-1 of a
+    document are taken in those epochs.
     """
-    sized = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    blocks = F.ceil(F.col("source_size") / block).cast("long")
-    due = F.coalesce(F.col("target") * blocks / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    all_due = F.sum("due").over(W.partitionBy())
-    share = F.when(all_due > 0, F.col("due") / all_due).otherwise(F.lit(0.0))
-    up = F.sum("__share").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
-    sources = scratch.table(
-        targets(sized)
-        .withColumn("due", due)
-        .withColumn("slots", F.round(all_due).cast("long"))
-        .withColumn("blocks", blocks)
-        .withColumn("__share", share)
-        .withColumn("upto", F.when(F.lead("source_size").over(W.orderBy(F.col("source").asc_nulls_last())).isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), up)))
-        .withColumn("since", F.coalesce(F.lag("upto").over(W.orderBy(F.col("source").asc_nulls_last())), F.lit(0.0)))
-        .drop("__share"),
-        "sources",
-    )
-    # draw: how many slots of each shard go to each source, in closed form
-    draws = sources.where(f"slots > 0 and due >= {shard}").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {shard}"))))
-    width = F.least(F.lit(shard), F.col("slots") - F.col("shard") * shard)
-    u = _unit(seed, F.col("shard"))
-    upto = lambda c: F.least(width, F.greatest(F.lit(0), F.ceil(width * F.col(c) - u)))
-    draws = draws.withColumn("count", F.when(F.col("upto") >= 1.0, width).otherwise(upto("upto")) - upto("since"))
-    draws = draws.withColumn("first_slot", F.sum("count").over(W.partitionBy("source").orderBy("shard")) - F.col("count"))
-    # map: slot j of a source is block perm(j mod blocks) of epoch j div blocks; no epoch beyond the last allowed
-    drawn = draws.where("count > 0").select("source", "source_size", "blocks", F.explode(F.expr("sequence(first_slot, first_slot + count - 1)")).alias("j"))
-    # settled: full epochs, then as many slots as hold the rest though the last block, with its few words, be among them
-    want = sources.where(f"due > 0 and due < {shard}").withColumn("want", F.round("target").cast("long")).where("want > 0")
-    rest, tail = "want % source_size", f"(source_size - (blocks - 1) * {block})"
-    want = want.withColumn("upto", F.expr(f"(want div source_size) * blocks + if({rest} > 0, least(blocks, ({rest} + 2 * {block} - {tail} - 1) div {block}), 0)"))
-    settled = want.select("source", "source_size", "blocks", "want", F.explode(F.expr("sequence(0, upto - 1)")).alias("j"))
-    slots = drawn.withColumn("want", F.lit(None).cast("long")).unionByName(settled).withColumn("epoch", F.expr("cast(j div blocks as int)")).where(F.col("epoch") < MOST)
-    slots = slots.select("source", "source_size", "blocks", "want", "j", "epoch", permuted(F.expr("j % blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("epoch")).alias("b"))
-    slots = scratch.table(slots, "slots", "snappy")  # read twice below
-    # only settled sources, of few slots each, are ordered for what is still due at each slot
-    words = F.when(F.col("b") == F.col("blocks") - 1, F.expr(tail)).otherwise(F.lit(block))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("j").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cut = slots.where("want is not null").withColumn("words", words).withColumn("take", F.least(F.lit(block), F.col("want") - before)).where("take > 0")
-    slots = slots.where("want is null").withColumn("take", F.lit(block).cast("long")).select("source", "b", "epoch", "take").unionByName(cut.select("source", "b", "epoch", "take"))
-    taken = slots.groupBy(F.col("source").alias("s"), F.col("b").alias("__b"), "take").agg(F.sum(F.expr("shiftleft(1, epoch)")).alias("epochs"))
-    # blocks: the parts of documents in each, by number
-    parts = offsets(docs).where("size > 0").select("doc", "source", "size", "offset", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("b"))
-    parts = parts.withColumn("first", F.greatest(F.lit(0), F.col("b") * block - F.col("offset"))).withColumn("n", F.least(F.col("size"), (F.col("b") + 1) * block - F.col("offset")) - F.col("first"))
+    sources = scratch.table(due(rows, seed, block), "sources")
+    taken = slots(sources, seed, block).groupBy(F.col("source").alias("s"), F.col("b").alias("__b"), "take").agg(F.sum(F.expr("shiftleft(1, epoch)")).alias("epochs"))
     # the planner takes what is exploded from a few sources for small: both sides grow with the input and are to be shuffled
-    met = parts.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b")))
-    into = F.greatest(F.lit(0), F.col("offset") - F.col("b") * block)  # where the part begins in its block
-    pieces = met.withColumn("n", F.least(F.col("n"), F.col("take") - into)).where("n > 0").select("doc", "epochs", "first", "n")
-    return sources, pieces
+    met = parts(rows, block).join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b")))
+    return sources, met.withColumn("n", F.least(F.col("n"), F.col("take") - F.col("into"))).where("n > 0").select("doc", "copy", "epochs", "first", "n")
+
+
+#: A document's key: its id, source, size and text. Rows with one key are copies, told apart by a number.
+_KEY = "struct(coalesce({i}, 0) as i, {i} is null as none, {s} as source, {n} as size, xxhash64({t}) as h)"
+_SIZE = f"coalesce(regexp_count({{t}}, r'{WORD}'), 0)"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size and ``doc``: a key that equal rows share out among themselves by a number."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc, n: the number of copies of each key. Copies combine before they meet."""
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(source_col).cast("string").alias("s"), F.col(text_col).alias("t")).withColumn("n", F.expr(_SIZE.format(t="t")).cast("long"))
+    return rows.select(F.expr(_KEY.format(i="i", s="s", n="n", t="t")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """A row for each copy: doc, copy (from 1), source, size."""
+    return sizes.select("doc", F.explode(F.expr("sequence(1, n)")).alias("copy"), F.col("doc.source").alias("source"), F.col("doc.size").alias("size"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken: what the mix takes of each document, repeats counted.
 
-    A row for each row of ``docs``. Rows that repeat (id, source, size) share
-    one stretch of the source's stream, n times as long, and each gets an equal
-    part (rounded down) of what is taken of it. Null texts have size 0; the null
-    source is a source; an empty table gives an empty table; all sizes zero give
-    targets of zero.
+    A row for each row of ``docs``; rows that repeat are taken one by one. Null
+    texts have size 0; the null source is a source; an empty table gives an
+    empty table; all sizes zero give targets of zero; other columns are not
+    looked at.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = scratch.table(_keyed(docs, id_col, text_col, source_col), "sizes")
-    rows = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("doc", F.struct(F.coalesce("doc_id", F.lit(0)).alias("a"), F.col("doc_id").isNull().alias("b"), "source", F.col("size").alias("c")))
-    sources, pieces = plan(rows.select("doc", "source", (F.col("size") * F.col("copies")).alias("size")), scratch, seed)
-    taken = pieces.groupBy("doc").agg(F.sum(F.col("n") * F.bit_count("epochs")).alias("all_taken"))
-    per = rows.join(taken.hint("merge"), "doc", "left").join(small(sources.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s")))
-    each = F.coalesce(F.floor(F.col("all_taken") / F.col("copies")), F.lit(0)).cast("long")
-    return per.withColumn("__copy", F.explode(F.expr("sequence(1, copies)"))).select("doc_id", "size", "source_size", "target", each.alias("taken"))
+    rows = scratch.table(_numbered(_sizes(docs, id_col, text_col, source_col)), "sizes")
+    sources, pieces = plan(rows, scratch, seed)
+    taken = pieces.groupBy("doc", "copy").agg(F.sum(F.col("n") * F.bit_count("epochs")).alias("taken"))
+    per = rows.join(taken.hint("merge"), ["doc", "copy"], "left").join(small(sources.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s")))
+    return per.select(F.when(~F.col("doc.none"), F.col("doc.i")).alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents as mixed: the columns of ``docs`` with ``text`` (and ``n_chars``) rewritten to what is taken.
+    """The documents as mixed: the columns of ``docs`` with ``text`` (and ``n_chars``) rewritten to what is taken, as ``mix`` says.
 
     A document taken whole in an epoch gives its text unchanged; one taken in
     part gives the words taken, in order, with single spaces. The epochs of a
     document follow each other, a line each. Documents of which nothing is taken
-    go; so do texts without words (they have nothing to take).
+    go; so do texts without words, null ones included (they have nothing to take).
+    Rows that repeat are taken one by one; columns of any other name pass through;
+    an empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "mixdocs")
-    key = F.struct(F.coalesce("doc_id", F.lit(0)).alias("a"), F.xxhash64("text", "lang", "source", "n_chars").alias("b"))
-    sizes = scratch.table(docs.select(key.alias("doc"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes").dropDuplicates(["doc"])
-    _, pieces = plan(sizes, scratch, seed)
+    rows = scratch.table(_numbered(_sizes(docs, "doc_id", "text", "source")), "sizes")
+    _, pieces = plan(rows, scratch, seed)
     per = pieces.withColumn("epoch", F.explode(F.filter(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda e: F.getbit(F.col("epochs"), e) > 0)))
-    per = per.groupBy("doc", "epoch").agg(F.sum("n").alias("words"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("epoch", "words", "parts"))).alias("epochs"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    lines = F.transform("epochs", lambda e: F.when(e["words"] == F.size("__words"), F.col("text")).otherwise(F.concat_ws(" ", F.flatten(F.transform(e["parts"], lambda p: F.slice(F.col("__words"), (p["first"] + 1).cast("int"), p["n"].cast("int")))))))
-    out = docs.withColumn("doc", key).join(per.hint("merge"), "doc").withColumn("__words", words).withColumn("text", F.concat_ws("\n", lines)).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    per = per.groupBy("doc", "copy", "epoch").agg(F.sum("n").alias("words"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts"))
+    per = per.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("copy", "epoch", "words", "parts"))).alias("epochs"))
+    keyed = packed(docs).withColumn("doc", F.expr(_KEY.format(i="cast(row.doc_id as bigint)", s="cast(row.source as string)", n=f"cast({_SIZE.format(t='row.text')} as bigint)", t="row.text")))
+    # copies are alike, so any order among them will do; the join has sorted them by this key already
+    met = keyed.join(per.hint("merge"), "doc").withColumn("copy", F.row_number().over(W.partitionBy("doc").orderBy("doc")))
+    met = met.withColumn("mine", F.expr("filter(epochs, e -> e.copy = copy)")).where("size(mine) > 0")
+    met = met.withColumn("words", F.expr(rf"if(exists(mine, e -> e.words < doc.size), regexp_extract_all(row.text, r'{WORD}', 0), cast(null as array<string>))"))
+    line = "if(e.words = doc.size, row.text, array_join(flatten(transform(e.parts, p -> slice(words, cast(p.first + 1 as int), cast(p.n as int)))), ' '))"
+    out = met.withColumn("new", F.expr(f"array_join(transform(mine, e -> {line}), '\\n')"))
+    changed = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.char_length("new").cast("long")
+    return unpacked(out, docs, changed)
+
+
+def mixed_blocks(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """shard, place, source, text: the mix itself, a row a slot: the words of its block that it takes, with single spaces.
+
+    Of an empty table, or texts without words, there are none.
+    """
+    scratch = Scratch(docs.sparkSession, "mixblocks")
+    rows = scratch.table(_numbered(_sizes(docs, "doc_id", "text", "source")), "sizes")
+    sources = scratch.table(due(rows, seed), "sources")
+    # a copy's words are those of the key's text: any row of the key will do
+    text = docs.select(F.expr(_KEY.format(i="cast(doc_id as bigint)", s="cast(source as string)", n=f"cast({_SIZE.format(t='text')} as bigint)", t="text")).alias("doc"), "text").groupBy("doc").agg(F.any_value("text").alias("text"))
+    cut = parts(rows).groupBy("doc").agg(F.collect_list(F.struct("b", "into", "first", "n")).alias("parts")).join(text, "doc").withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    pieces = cut.select(F.col("doc.source").alias("source"), "words", F.explode("parts").alias("p")).select("source", F.col("p.b").alias("b"), F.col("p.into").alias("into"), F.expr("slice(words, cast(p.first + 1 as int), cast(p.n as int))").alias("words"))
+    blocks = pieces.groupBy(F.col("source").alias("s"), F.col("b").alias("__b")).agg(F.expr("flatten(transform(array_sort(collect_list(struct(into, words))), x -> x.words))").alias("words"))
+    met = slots(sources, seed).join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b")))
+    return met.select("shard", "place", "source", F.expr("array_join(slice(words, 1, cast(take as int)), ' ')").alias("text"))

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, small, unpacked
+from .common import Scratch, let, packed, small, unpacked
 
 #: Kinds in their order, with their patterns. Possessive forms of the contract's patterns: they match
 #: the same and neither recurse nor go back over long runs (a run of characters is entered once, at its start).
@@ -52,11 +52,6 @@ _BLOCK = 256
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """``body`` with ``name`` for a value that is computed once, however often ``body`` names it, in lambdas too."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
-
-
 def running(values: str, op: Callable[[str, str], str]) -> str:
     """Running folds of an array<int> with one item at least by an associative ``op`` (0 is neutral): plainly within blocks, then over the blocks' last values."""
 
@@ -67,7 +62,7 @@ def running(values: str, op: Callable[[str, str], str]) -> str:
     blocks = f"transform(sequence(0, cast(floor((size(vals) - 1) / {_BLOCK}) as int)), blk -> {plain(f'slice(vals, blk * {_BLOCK} + 1, {_BLOCK})')})"
     late = f"transform(one, val -> {op('get(tops, nth - 1)', 'val')})"
     whole = f"flatten(transform(blks, (one, nth) -> if(nth = 0, one, {late})))"
-    return _let(values, "vals", _let(blocks, "blks", _let(plain("transform(blks, one -> element_at(one, -1))"), "tops", whole)))
+    return let(values, "vals", let(blocks, "blks", let(plain("transform(blks, one -> element_at(one, -1))"), "tops", whole)))
 
 
 def _plus(a: str, b: str) -> str:
@@ -85,7 +80,7 @@ def _holds(kind: str, m: str) -> str:
         return rf"{m} rlike r'^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]|)(?:\.|$)){{4}}$'"
     if kind == "card":
         doubled = "transform(split(reverse(digits), ''), (d, i) -> if(i % 2 = 0, cast(d as int), get(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), cast(d as int))))"
-        return _let(digits, "digits", f"if(length(digits) between 12 and 19, aggregate({doubled}, 0, (a, d) -> a + coalesce(d, 0)) % 10 = 0, false)")
+        return let(digits, "digits", f"if(length(digits) between 12 and 19, aggregate({doubled}, 0, (a, d) -> a + coalesce(d, 0)) % 10 = 0, false)")
     if kind == "phone":
         return f"length({digits}) between 9 and 15"
     return "true"
@@ -96,7 +91,7 @@ def positions(text: str, pattern: str) -> str:
     parts = f"transform(split({text}, r'{pattern}', -1), (g, i) -> named_struct('g', char_length(g), 'm', get(found, i)))"
     ends = running("transform(parts, x -> x.g + coalesce(char_length(x.m), 0))", _plus)
     at = "filter(transform(parts, (x, i) -> named_struct('start', get(ends, i) - char_length(x.m), 'end', get(ends, i), 'value', x.m)), x -> x.value is not null)"
-    return _let(f"regexp_extract_all({text}, r'{pattern}', 0)", "found", _let(parts, "parts", _let(ends, "ends", at)))
+    return let(f"regexp_extract_all({text}, r'{pattern}', 0)", "found", let(parts, "parts", let(ends, "ends", at)))
 
 
 def _found(text: str, kind: str) -> str:
@@ -128,7 +123,7 @@ def pieces(text: str, spans: str) -> str:
     part = "substring(decode(concat(X'00000020', substring(wide, lo * 4 + 1, (hi - lo) * 4)), 'UTF-32'), 2)".replace("lo", "x.lo").replace("hi", "x.hi")
     free = "filter(transform(all, (x, i) -> named_struct('lo', if(i = 0, 0, get(reach, i - 1)), 'hi', x.start, 'kind', x.kind)), x -> x.hi >= x.lo)"
     cut = f"transform({free}, x -> named_struct('lo', x.lo, 'text', {part}, 'kind', x.kind))"
-    several = _let(f"concat({spans}, array({last}))", "all", _let(running("transform(all, x -> x.end)", _greatest), "reach", _let(f"encode({text}, 'UTF-32')", "wide", cut)))
+    several = let(f"concat({spans}, array({last}))", "all", let(running("transform(all, x -> x.end)", _greatest), "reach", let(f"encode({text}, 'UTF-32')", "wide", cut)))
     return f"if(size({spans}) > 0, {several}, array(named_struct('lo', 0, 'text', {text}, 'kind', cast(null as int))))"
 
 
@@ -266,7 +261,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     out = keyed.join(small(spanned), ["id0", "h"], "left").join(small(verdicts), ["id0", "h"], "left")
     out = out.withColumn("hit", F.col("spans").isNotNull() | F.col("said").isNotNull()).withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
     put = "concat(g, coalesce(element_at(said, lower(get(found, i))), get(found, i), ''))"
-    written = _let(f"regexp_extract_all(p.text, r'{TERM}', 0)", "found", f"array_join(transform(split(p.text, r'{TERM}', -1), (g, i) -> {put}), '')")
+    written = let(f"regexp_extract_all(p.text, r'{TERM}', 0)", "found", f"array_join(transform(split(p.text, r'{TERM}', -1), (g, i) -> {put}), '')")
     marks = ", ".join(f"'[{k.upper()}]'" for k in PATTERNS)
     whole = f"array_join(transform({pieces('t', 'spans')}, p -> concat(if(said is null, p.text, {written}), coalesce(get(array({marks}), p.kind), ''))), '')"
     out = out.withColumn("new", F.when(F.col("hit"), F.expr(whole)).otherwise(F.col("row.text")))
