@@ -1,36 +1,35 @@
 """Byte-level BPE over a global distinct-word shuffle.
 
-Pre-tokens are exploded with their positions, each distinct word of the corpus
-is encoded once, and the ids join back and are put together by position. Rows
-travel packed: a chunk of documents is one row that keeps its pre-tokens as codes
-into the chunk's word list, most frequent first. The lists are dealt out by the
-hash of the word, so that a word crosses the shuffle once a chunk, not once an
-occurrence ("the" in a third of all tokens is one entry a chunk), and all chunks'
-entries of one word meet in one partition, which encodes it once. Its ids go back
-to the chunks, which are bucketed and so stay where they are. Decoding joins the token ids that a chunk has with the token-byte
-table and puts the bytes together by position.
+Pre-tokens are exploded with their positions, each distinct word of the corpus is
+encoded once, and the ids join back and are put together by position. A chunk of
+documents is one row that keeps its pre-tokens as codes into the chunk's word
+list. The lists are exploded to rows (chunk, code, word), so that a word crosses
+the shuffle once a chunk, not once an occurrence; grouped by word they are the
+table of distinct words, each encoded once and, joined with the token-byte table,
+decoded once; that table joins back to the rows, and these to the chunks, which
+are bucketed and so stay where they are. Of a word that most chunks have (``the``)
+the rows stay where they are, too.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_text, chunked, map_batches, trimmed
+from .common import Scratch, binary_text, chunked, join_hot, map_batches, trimmed
 
-#: Text bytes of a chunk, which bound its row; words of all chunks' lists that a partition of the shuffle gets.
-CHUNK_BYTES, PART_WORDS = 8 << 20, 1_000_000
+#: Text bytes of a chunk, which bound its row, and of a bucket of chunks, which bound a task; the most buckets.
+CHUNK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 32 << 20, 20_000
 #: Documents a batch of results.
 OUT_ROWS = 256
-_CHUNK = "chunk long, ids array<long>, lens binary, codes binary, words binary, n_words long"
+_CHUNK = "chunk long, ids array<long>, lens binary, codes binary, words array<binary>"
 
 
 class _Codes(dict):
@@ -60,21 +59,6 @@ def unpack_numbers(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def pack_list(items: list[bytes]) -> bytes:
-    lens = pack_numbers(np.fromiter(map(len, items), np.uint32, len(items)))
-    return len(lens).to_bytes(8, "little") + lens + _z(b"".join(items))
-
-
-def unpack_list(b: bytes) -> list[bytes]:
-    n = int.from_bytes(b[:8], "little")
-    ends, raw = np.cumsum(unpack_numbers(b[8 : 8 + n]), dtype=np.int64).tolist(), _unz(b[8 + n :])
-    return [raw[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
-
-
-def _parts(words: list[bytes], parts: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
-
-
 def _pack(batches: Iterator[pa.RecordBatch], pattern: str, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     find = regex.compile(pattern).findall
     base, n = TaskContext.get().partitionId() << 32, 0
@@ -85,7 +69,7 @@ def _pack(batches: Iterator[pa.RecordBatch], pattern: str, chunk_bytes: int) ->
             ids.append(i)
             parts.append(np.fromiter(map(codes.__getitem__, seq), np.uint32, len(seq)))
         flat = np.concatenate(parts)
-        order = np.argsort(-np.bincount(flat, minlength=len(codes)), kind="stable")  # most frequent first
+        order = np.argsort(-np.bincount(flat, minlength=len(codes)), kind="stable")  # most frequent first: small codes
         rank = np.empty(len(codes), np.uint32)
         rank[order] = np.arange(len(codes), dtype=np.uint32)
         seen = list(codes)
@@ -97,8 +81,8 @@ def _pack(batches: Iterator[pa.RecordBatch], pattern: str, chunk_bytes: int) ->
 def _chunk_row(chunk: int, ids: list, parts: list[np.ndarray], flat: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
     lens = np.fromiter(map(len, parts), np.uint32, len(parts))
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack_numbers(lens), pack_numbers(flat), pack_list(words))), pa.array([len(words)], pa.int64())],
-        ["chunk", "ids", "lens", "codes", "words", "n_words"],
+        [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack_numbers(lens), pack_numbers(flat))), pa.array([words], pa.list_(pa.binary()))],
+        ["chunk", "ids", "lens", "codes", "words"],
     )
 
 
@@ -117,62 +101,38 @@ def _joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple
         yield rows
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """A row for each part of a chunk's word list."""
-    for b in batches:
-        for chunk, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            words = unpack_list(packed.as_py())
-            part = _parts(words, parts)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            own = [(p, pack_list([words[k] for k in order[lo:hi].tolist()])) for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array([w for _, w in own], pa.binary())], ["part", "chunk", "words"])
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.RecordBatch]:
-    """Token ids of the words of each row, a list a word; a word is encoded once a partition, and a partition has all rows of its words."""
+def _encoded(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Adds the token ids of each word (the first column), which is encoded as one piece."""
     import tiktoken
 
-    piece = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-    known: dict[bytes, bytes] = {}
+    encode = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     for b in batches:
-        parts, chunks = b.column(0), b.column(1)
-        for i in range(b.num_rows):
-            out, used = [], set()
-            for w in unpack_list(b.column(2)[i].as_py()):
-                ids = known.get(w)
-                if ids is None:
-                    known[w] = ids = np.array(piece(w), "<u4").tobytes()
-                out.append(ids)
-            used = np.unique(np.frombuffer(b"".join(out), "<u4")).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([parts.slice(i, 1), chunks.slice(i, 1), pa.array([pack_list(out)], pa.binary()), pa.array([used], pa.list_(pa.int32()))], ["part", "chunk", "token_ids", "used"])
-
-
-def _unpack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(id, token_ids, decoded) of a chunk's documents from its codes, its words' ids (parts > 0; else the codes are ids) and its tokens' bytes."""
+        ids = [encode(w.as_py().decode()) for w in b.column(0)]
+        yield b.append_column("token_ids", pa.array(ids, pa.list_(pa.int32())))
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, token_ids, decoded) of a chunk's documents: its codes, and of each code the ids and the bytes that these decode to."""
     for b in batches:
         for i in range(b.num_rows):
             row = {n: b.column(k)[i] for k, n in enumerate(b.schema.names)}
             ids, lens, codes = row["ids"].as_py(), unpack_numbers(row["lens"].as_py()), unpack_numbers(row["codes"].as_py())
-            tokens = dict(zip(*(row["tokens"].values.field(k).to_pylist() for k in (0, 1)), strict=True)) if row["tokens"].is_valid else {}
-            if parts:
-                part = _parts(unpack_list(row["words"].as_py()), parts)
-                at = np.argsort(part, kind="stable").tolist()
-                lists = sorted(row["dealt"].as_py() or [], key=lambda x: x["part"])
-                by_word = [b""] * len(part)
-                for k, x in zip(at, (w for p in lists for w in unpack_list(p["token_ids"])), strict=True):
-                    by_word[k] = x
-                in_bytes = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in by_word]
+            by_code, in_bytes = {}, {}
+            if row["back"].is_valid:
+                back = row["back"].values
+                at, seqs, decoded = (back.field(k).to_pylist() for k in range(3))
+                by_code = {c: np.array(s, "<u4").tobytes() for c, s in zip(at, seqs, strict=True)}
+                in_bytes = dict(zip(at, decoded, strict=True))
             ends = np.cumsum(lens, dtype=np.int64).tolist()
             starts = [0, *ends[:-1]]
             for lo in range(0, len(ids), OUT_ROWS):
                 hi = min(lo + OUT_ROWS, len(ids))
-                token_ids, decoded = [], []
+                token_ids, out = [], []
                 for s, e in zip(starts[lo:hi], ends[lo:hi], strict=True):
                     seq = codes[s:e].tolist()
-                    token_ids.append(b"".join(map(by_word.__getitem__, seq)) if parts else codes[s:e].tobytes())
-                    decoded.append(b"".join(map((in_bytes if parts else tokens).__getitem__, seq)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(token_ids, pa.binary()), pa.array(decoded, pa.binary())], ["id", "token_ids", "decoded"])
+                    token_ids.append(b"".join(map(by_code.__getitem__, seq)))
+                    out.append(b"".join(map(in_bytes.__getitem__, seq)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(token_ids, pa.binary()), pa.array(out, pa.binary())], ["id", "token_ids", "decoded"])
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -185,16 +145,31 @@ def token_byte_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(t)) for t, i in ranks.items()], "token int, bytes binary")
 
 
-def _token_bytes(used: DataFrame, table: DataFrame) -> DataFrame:
-    """(chunk, tokens): the bytes of each token that a chunk uses; at most the vocabulary a chunk."""
-    distinct = used.select("chunk", F.explode("used").alias("token")).distinct()
-    return distinct.join(F.broadcast(table), "token").groupBy("chunk").agg(F.collect_list(F.struct("token", "bytes")).alias("tokens"))
+def _decoded(lists: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds ``decoded`` to rows with a unique number ``key`` and ``token_ids``: the token-byte table joined, the bytes put together by position.
+
+    An id that the table does not have raises rather than losing bytes.
+    """
+    each = lists.select("key", F.posexplode("token_ids").alias("at", "token")).join(F.broadcast(table), "token", "left")
+    known = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("no token "), F.col("token").cast("string")))).otherwise(F.col("bytes"))
+    whole = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", known.alias("bytes")))).alias("x"))
+    return lists.join(whole.select("key", F.expr("unhex(array_join(transform(x, y -> hex(y.bytes)), ''))").alias("decoded")), "key", "left").withColumn("decoded", F.coalesce("decoded", F.lit(b"")))
+
+
+def _buckets(rows: DataFrame) -> int:
+    """Buckets of chunks for so many bytes of text."""
+    size = rows.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
 
 
-_OUT = "id long, token_ids binary, decoded binary"
+def _back(chunks: DataFrame, listed: DataFrame, words: DataFrame, key: str, total: int) -> DataFrame:
+    """(id, token_ids, decoded) of chunks, once each of their codes has its ids and bytes."""
+    rows = join_hot(listed, words, [key], "n", total).select("chunk", "code", "token_ids", "decoded")
+    per = rows.groupBy("chunk").agg(F.collect_list(F.struct("code", "token_ids", "decoded")).alias("back"))
+    return map_batches(chunks.select("chunk", "ids", "lens", "codes").join(per, "chunk", "left"), _unpack, "id long, token_ids binary, decoded binary")
 
 
-def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_words: int = PART_WORDS) -> DataFrame:
+def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, token_ids, decoded): the token ids of each text (little-endian u32) and the bytes they decode to.
 
     A row for each row of ``docs``; a null or empty text has no ids and decodes
@@ -205,19 +180,18 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
     ranks = load_ranks(vocab_path)
     held = spark.sparkContext.broadcast(ranks)  # the vocabulary: 50 thousand entries
     rows = binary_text(docs, [F.col(id_col).cast("long").alias("id")], text_col)
-    chunks = scratch.bucketed(map_batches(rows, _pack, _CHUNK, pattern, chunk_bytes), "chunk")
-    parts = 1 + (chunks.agg(F.sum("n_words")).first()[0] or 0) // part_words
-    parts = max(parts, 8)
+    chunks = scratch.bucketed(map_batches(rows, _pack, _CHUNK, pattern, chunk_bytes), "chunk", _buckets(rows))
+    listed = chunks.select("chunk", F.posexplode("words").alias("code", "word"))
+    distinct = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return trimmed(_encoded(batches, held.value, pattern))
+        return trimmed(_encoded(batches, held.value))
 
-    dealt = map_batches(chunks.select("chunk", "words"), _dealt, "part int, chunk long, words binary", parts).repartition(parts, "part")
-    coded = scratch.table(dealt.mapInArrow(run, "part int, chunk long, token_ids binary, used array<int>"), "encoded")
-    back = coded.groupBy("chunk").agg(F.collect_list(F.struct("part", "token_ids")).alias("dealt"))
-    tokens = _token_bytes(coded, token_byte_table(spark, ranks))
-    whole = chunks.select("chunk", "ids", "lens", "codes", "words").join(back, "chunk", "left").join(tokens, "chunk", "left")
-    return map_batches(whole, _unpack, _OUT, parts)
+    # numbered as written: a word may be as long as a text, and its tokens are rows
+    coded = scratch.table(distinct.mapInArrow(run, "word binary, n long, token_ids array<int>").withColumn("key", F.monotonically_increasing_id()), "words")
+    words = scratch.table(_decoded(coded, token_byte_table(spark, ranks)), "decoded")
+    scratch.drop(coded)
+    return _back(chunks, listed, words, "word", words.agg(F.sum("n")).first()[0] or 0)
 
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,17 +210,18 @@ def _pack_ids(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[p
 
 
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "id", ids_col: str = "token_ids", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id, decoded) of rows of ids: a chunk's ids join the token-byte table, bytes go together by position.
+    """(id, decoded) of rows of ids: a chunk's distinct ids join the token-byte table, bytes go together by position.
 
     A null or empty list of ids decodes to no bytes. An id outside the
-    vocabulary raises ``KeyError`` on the executor rather than losing bytes.
+    vocabulary raises on the executor rather than losing bytes.
     """
     spark, scratch = encoded.sparkSession, Scratch(encoded.sparkSession, "unbpe")
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("__text"))
-    chunks = scratch.bucketed(map_batches(rows, _pack_ids, _CHUNK + ", used array<int>", chunk_bytes), "chunk")
-    tokens = _token_bytes(chunks.select("chunk", "used"), token_byte_table(spark, load_ranks(vocab_path)))
-    whole = chunks.select("chunk", "ids", "lens", "codes", "words").withColumn("dealt", F.lit(None).cast("array<struct<part:int,token_ids:binary>>")).join(tokens, "chunk", "left")
-    return map_batches(whole, _unpack, _OUT, 0).select("id", "decoded")
+    chunks = scratch.bucketed(map_batches(rows, _pack_ids, _CHUNK + ", used array<int>", chunk_bytes), "chunk", _buckets(rows))
+    listed = chunks.select("chunk", F.explode("used").alias("code")).withColumn("token", F.col("code"))
+    one = listed.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(F.col("token").alias("key"), "token", "n", F.array("token").alias("token_ids"))
+    words = scratch.table(_decoded(one, token_byte_table(spark, load_ranks(vocab_path))), "tokens")
+    return _back(chunks, listed, words, "token", words.agg(F.sum("n")).first()[0] or 0).select("id", "decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -39,42 +39,81 @@ def message(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), escape(role), F.lit("|>"), escape(text), F.lit(END))
 
 
+def _jumps(own: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], bool]:
+    """Tables (tree, node, parent) of the ancestors 1, 2, 4, ... steps up; and whether parents run in a circle.
+
+    In a tree of n nodes nobody has an ancestor n steps up, unless there is a circle.
+    """
+    most = own.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    known = own.select("tree", F.col("node").alias("parent"))
+    found = [scratch.table(own.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent"), "jump0")]
+    while not found[-1].isEmpty():
+        if 1 << (len(found) - 1) >= most:
+            return found, True
+        higher = found[-1].select("tree", F.col("node").alias("parent"), F.col("parent").alias("top"))
+        found.append(scratch.table(found[-1].join(higher, ["tree", "parent"]).select("tree", "node", F.col("top").alias("parent")), f"jump{len(found)}"))
+    return found, False
+
+
+def _opened(own: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``own`` with each circle of parents opened: the smallest node of a circle becomes a root."""
+    # so many steps up everyone is in a circle, and everyone in a circle is reached
+    inside = scratch.table(jumps[-1].select("tree", F.col("parent").alias("node")).distinct(), "circles")
+    least = inside.select("tree", "node", F.col("node").alias("least"))
+    for k, jump in enumerate(jumps):  # the least of the next 2, 4, 8, ... nodes
+        ahead = least.select("tree", F.col("node").alias("parent"), F.col("least").alias("other"))
+        least = scratch.table(least.join(jump, ["tree", "node"]).join(ahead, ["tree", "parent"]).select("tree", "node", F.least("least", "other").alias("least")), f"least{k}")
+    roots = least.where("node = least").select("tree", "node", F.lit(True).alias("root"))
+    return scratch.table(own.join(roots, ["tree", "node"], "left").select("tree", "node", F.when(F.col("root").isNull(), F.col("parent")).alias("parent")), "opened")
+
+
 def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(tree, leaf, node, up): the messages on the way from each leaf to its root, ``up`` steps above the leaf.
 
-    ``nodes``: tree, node, parent (null: a root). A parent that does not exist
-    makes its child a root. Each message of a path is a row, so the rows are as
-    many as the paths are long; what a round adds is written once.
+    ``nodes``: tree, node, parent (null: a root), (tree, node) once each. A parent
+    that does not exist makes its child a root; so does a circle of parents, for
+    its smallest node. Each message of a path is a row, so the rows are as many as
+    the paths are long; what a round adds is written once.
     """
     own = nodes.select("tree", "node", "parent")
-    known = own.select("tree", F.col("node").alias("parent"))
-    jumps = scratch.table(own.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent"), "jump0")
-    leaves = own.select("tree", "node").join(jumps.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
-    found = [scratch.table(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "path0")]
-    k = 0
-    while True:
-        up = jumps.select("tree", "node", F.col("parent").alias("above"))
-        so_far = found[0]
-        for f in found[1:]:
-            so_far = so_far.unionByName(f)
-        more = scratch.table(so_far.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up")), f"path{k + 1}")
-        if more.isEmpty():
-            return so_far
-        found.append(more)
-        higher = jumps.select("tree", F.col("node").alias("parent"), F.col("parent").alias("top"))
-        jumps = scratch.table(jumps.join(higher, ["tree", "parent"]).select("tree", "node", F.col("top").alias("parent")), f"jump{k + 1}")
-        k += 1
+    jumps, circle = _jumps(own, scratch)
+    if circle:
+        own = _opened(own, jumps, scratch)
+        scratch.drop(*jumps)
+        jumps, _ = _jumps(own, scratch)
+    leaves = own.select("tree", "node").join(jumps[0].select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
+    so_far = scratch.table(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "path0")
+    for k, jump in enumerate(jumps[:-1]):  # the last is empty
+        above = jump.select("tree", "node", F.col("parent").alias("above"))
+        more = scratch.table(so_far.join(above, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up")), f"path{k + 1}")
+        so_far = so_far.unionByName(more)
+    scratch.drop(*jumps)
+    return so_far
+
+
+def _once(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``nodes`` with each (tree, node) once: of repeated ones the first by parent, role, text and score, nulls first."""
+    twice = scratch.table(nodes.groupBy("tree", "node").count().where("count > 1").select("tree", "node"), "repeated", "snappy")
+    if twice.isEmpty():
+        return nodes
+    rest = [c for c in nodes.columns if c not in ("tree", "node")]
+    first = nodes.join(twice, ["tree", "node"], "left_semi").groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("x")).select("tree", "node", "x.*")
+    return nodes.join(twice, ["tree", "node"], "left_anti").unionByName(first)
 
 
 def format_trees(nodes: DataFrame, best: int = 1, loss_role: str = "assistant") -> DataFrame:
     """tree, leaf, rank, n_turns, formatted, mask: the ``best`` branches of each tree as conversations.
 
-    ``nodes``: tree, node, parent, role, text, score. A branch's score is the sum
-    over its messages (null: 0), ties go to the smaller leaf. Null roles and
-    texts are empty. ``mask`` has the byte ranges (start, n) of ``formatted`` in
-    UTF-8 that count for the loss: the texts of ``loss_role``, without marks.
+    ``nodes``: tree, node, parent, role, text, score; other columns are not looked
+    at. A branch's score is the sum over its messages (null: 0), ties go to the
+    smaller leaf. Null roles and texts are empty. Repeated nodes count once, the
+    first by parent, role, text and score. A lost parent makes a root, and so does
+    a circle of parents, for its smallest node. ``mask`` has the byte ranges
+    (start, n) of ``formatted`` in UTF-8 that count for the loss: the texts of
+    ``loss_role``, without marks.
     """
     scratch = Scratch(nodes.sparkSession, "chat")
+    nodes = _once(nodes.select("tree", "node", "parent", "role", "text", "score"), scratch)
     chain = paths(nodes, scratch)
     said = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     scores = chain.join(said.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))

@@ -52,17 +52,22 @@ class Scratch:
         """``df`` written and read again. zstd holds native memory for each file until the next collection: not for many small files."""
         self.n += 1
         path = f"{self.path}/{self.n:02d}-{name}"
-        df.write.option("compression", compression).parquet(path)
+        with _small_batches(self.spark):
+            df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
-        """A table that joins on ``key`` without being shuffled again: written by buckets, as many as there are shuffle partitions."""
+    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """A table that joins on ``key`` without being shuffled again. The catalog knows its name only until it is read here; the files stay."""
         self.n += 1
-        name, n = f"scratch_{uuid.uuid4().hex}", max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        df.write.option("compression", "zstd").option("path", f"{self.path}/{self.n:02d}-{name}").bucketBy(n, key).sortBy(key).saveAsTable(name)
-        return self.spark.table(name)
+        name, path = f"scratch_{uuid.uuid4().hex}", f"{self.path}/{self.n:02d}-buckets"
+        with _small_batches(self.spark):
+            df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        out._scratch_path = path
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
@@ -88,11 +93,17 @@ def unpacked(df: DataFrame, docs: DataFrame, changed: dict[str, Column] | None =
     return df.select(*((changed[c].cast(kinds[c]) if changed and c in changed else F.col(f"{name}.`{c}`")).alias(c) for c in docs.columns))
 
 
-def for_long_texts(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets at most ``rows`` documents into an Arrow batch of this session: ten thousand long texts at a time are much memory for nothing."""
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While a table is written, at most ``rows`` documents are in an Arrow batch: ten thousand long texts at a time are much memory for nothing."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(key)
+    if int(before) > 0:
+        spark.conf.set(key, str(min(int(before), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def binary_text(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -187,6 +198,17 @@ def sorted_distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and in ``count`` how many of the ``total`` rows of ``left`` have it.
+
+    Keys of more than a ``share``-th of all rows, of which there are less than
+    ``share``, are broadcast, so their rows stay where they are; the rest is shuffled.
+    """
+    hot = right.where(F.col(count) > total / share)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(count) <= total / share), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have ``most_rows`` at most; else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

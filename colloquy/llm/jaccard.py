@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, binary_text, chunked, map_batches, mix64, ngram_hashes, small, sorted_distinct, trimmed
+from .common import Scratch, WordHash, binary_text, chunked, join_hot, map_batches, mix64, ngram_hashes, small, sorted_distinct, trimmed
 from .components import components
 
 #: Words of a shingle; a link needs NUM / DEN of the union.
@@ -174,11 +174,11 @@ def _fits(a: Column, b: Column) -> Column:
     return (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
 
 
-def _stars(sig: DataFrame) -> DataFrame:
+def _stars(sig: DataFrame, n_keys: int) -> DataFrame:
     """Pairs (a, b): a set and the leader, for some key, of those that share it; the leader has most frequent tokens."""
     keyed = sig.select("doc", "n", "frequent", F.posexplode("keys").alias("k", "key"))
     leaders = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("members"), F.max_by(F.struct("doc", "n"), F.struct("frequent", "n", "doc")).alias("l")).where("members > 1")
-    return keyed.join(leaders, ["k", "key"]).where(F.col("doc") != F.col("l.doc")).where(_fits(F.col("n"), F.col("l.n"))).select(F.col("doc").alias("a"), F.col("l.doc").alias("b"))
+    return join_hot(keyed, leaders, ["k", "key"], "members", n_keys).where(F.col("doc") != F.col("l.doc")).where(_fits(F.col("n"), F.col("l.n"))).select(F.col("doc").alias("a"), F.col("l.doc").alias("b"))
 
 
 def _needed(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
@@ -195,7 +195,7 @@ def link_classes(texts: DataFrame, scratch: Scratch, n: int = SHINGLE, keys: int
     """
     first = scratch.table(map_batches(texts, _first, "doc long, n long, digest binary, tokens array<long>, counts array<int>", n), "first")
     meta = first.where("digest is not null").select("doc", "n", "digest")
-    reps = meta.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))
+    reps = meta.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     counts = first.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select("x.tokens", "x.counts").groupBy("tokens").agg(F.sum("counts").alias("c"))
     # the order's table: ``frequent`` numbers at most, whatever the input
     top = [r.tokens for r in counts.where("c > 15").orderBy(F.col("c").desc(), "tokens").limit(frequent).collect()][::-1]
@@ -208,7 +208,7 @@ def link_classes(texts: DataFrame, scratch: Scratch, n: int = SHINGLE, keys: int
     sig = scratch.table(rows.join(reps.where("rep is not null").select(F.col("rep").alias("doc"), "n").distinct(), ["doc", "n"], "left_semi"), "signatures")
     verifier = _Verifier(texts, reps, scratch, n)
 
-    links = verifier.links(_stars(sig))
+    links = verifier.links(_stars(sig, keys * sig.count()))
     stars = components(links, scratch)
     base = sig.select("doc", "n", "prefix").join(stars.withColumnRenamed("node", "doc"), "doc", "left")
     matrix = scratch.table(_matrix(base, sig, stars), "matrix")
@@ -225,8 +225,11 @@ def link_classes(texts: DataFrame, scratch: Scratch, n: int = SHINGLE, keys: int
     left = scratch.table(left.where(F.coalesce("now_a", "comp_a") != F.coalesce("now_b", "comp_b")).select("comp_a", "comp_b", "members_a", "members_b", "c"), "left")
     if not left.isEmpty():
         comps = _joined(comps, verifier.links(_members(base, matrix, left)), scratch)
-    for done in (sig, matrix, opened, left):
-        scratch.drop(done)
+    # a document with several texts is one node: the classes of its texts are linked through it
+    twofold = meta.where("n > 0 AND doc IS NOT NULL").groupBy("doc").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc")
+    same = meta.where("n > 0").join(small(twofold), "doc", "left_semi").join(reps.select("digest", "rep"), "digest").select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    comps = _joined(comps, scratch.table(same, "same", "snappy"), scratch)
+    scratch.drop(sig, matrix, opened, left)
     return meta, reps, comps
 
 
@@ -297,7 +300,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 
     Texts without words (null, empty, white space) have no shingles and are
     linked with nothing: their component is their own id. Rows with one id are
-    one document, joined through any of their texts. Rows whose id is null are
+    one document, linked through any of their texts. Rows whose id is null are
     linked with nothing that has an id unless a row with an id has the same set;
     alone, their component is null. Repeated rows stay. An empty table gives an
     empty table.
@@ -305,13 +308,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = binary_text(docs, [F.col(id_col).cast("long").alias("doc")], text_col)
     meta, reps, comps = link_classes(texts, scratch, n)
-    known = meta.where("n > 0").join(reps.select("digest", "rep"), "digest").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    # the verdict of each class is found first; the rows of a class with very many copies stay where they are
+    classes = reps.select("digest", "rep", "rows").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = Scratch(docs.sparkSession, "classes").table(classes.select("digest", "rows", F.coalesce("comp", "rep").alias("component_id")), "classes", "snappy")
+    known = join_hot(meta.where("n > 0"), classes, ["digest"], "rows", meta.count())
+    known = known.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return known.unionByName(meta.where("n = 0").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one whose id is the component's. Texts without words stay; so do rows without an id."""
+    """One document of each component stays: the one whose id is the component's.
+
+    Texts without words stay, and so do rows without an id. A document is all
+    rows of its id: where it stays, its repeated rows stay with it.
+    """
     scratch = Scratch(docs.sparkSession, "keepone")
     found = scratch.table(groups(docs), "groups")
     lost = found.where("component_id < doc_id").select("doc_id").distinct()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary_text, chunked, map_batches, ngram_hashes
+from .common import Scratch, WordHash, binary_text, chunked, join_hot, map_batches, ngram_hashes
 
 #: Limits of the base rules, the window of the repetition rule, and the host's limit.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, HOST_LIMIT = 20, 30, 8, 0.5
@@ -104,7 +104,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: Column | str = "sou
     empty table gives an empty table. A document is kept if it passes the base
     rules and its host passes.
     """
-    rows = measures(docs, id_col, host_col, text_col).withColumn("base_failed", base_failed())
+    scratch = Scratch(docs.sparkSession, "rules")
+    rows = scratch.table(measures(docs, id_col, host_col, text_col).withColumn("base_failed", base_failed()), "measures")  # read twice, measured once
     rows = rows.withColumn("host_key", F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("-")))
     verdicts = host_verdicts(rows.select(F.col("host_key").alias("host"), "base_failed"), F.col("base_failed"), host_limit).withColumnRenamed("host", "host_key")
-    return rows.join(verdicts, "host_key").withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("host_key")
+    verdicts = scratch.table(verdicts, "hosts", "snappy")
+    return join_hot(rows, verdicts, ["host_key"], "n_docs", rows.count()).withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("host_key")

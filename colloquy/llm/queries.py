@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, importance, jaccard, media, mixing, pii, quality_rules, token_counts, toxicity
-from .common import for_long_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for_long_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

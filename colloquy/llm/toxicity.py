@@ -19,12 +19,13 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import binary_text, chunked, map_batches, trim, trimmed
+from .common import Scratch, binary_text, chunked, map_batches, packed, trim, trimmed, unpacked
 
-#: Labelled documents to fit on at most: those with the smallest hashes of their ids.
-SAMPLE = 12_000
+#: Labelled documents to fit on at most: those with the smallest hashes of their ids; the distinct buckets of all of them together at most (64 MB on the driver).
+SAMPLE, SAMPLE_BUCKETS = 12_000, 16_000_000
 #: Hash buckets, rank, epochs. The buckets that take part tell labels apart alone or in a pair; documents that a bucket or a pair must have.
 BITS, RANK, EPOCHS, SEED, SUPPORT = 20, 4, 30, 7, 5
 FOLDS = 5
@@ -63,8 +64,8 @@ def terms(text: bytes) -> set[bytes]:
 def _bucket_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     of = _Buckets(bits)
     for b in chunked(batches, 8 << 20):
-        sets = [of.of(terms(t.as_py() or b"")).tobytes() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["toxic", "buckets"])
+        sets = [of.of(terms(t.as_py() or b"")).tobytes() for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["id", "toxic", "buckets"])
 
 
 @dataclass
@@ -197,20 +198,29 @@ def fold(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, **options) -> Model:
     """The model of the labelled rows outside fold 0; at most ``sample`` of them, by the hash of the id.
 
-    Rows with a null label or id aren't learnt from; a document labelled twice counts twice.
+    Rows with a null label or id aren't learnt from; a document labelled twice
+    counts twice. Documents that would take the sample beyond ``SAMPLE_BUCKETS``
+    are left to scoring alone. No labels, or an empty table: a model that says no.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic is not null").where(fold(F.col("__id")) != 0)
     picked = rows.orderBy(F.xxhash64("__id"), "__id", "toxic").limit(sample)
     text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    joined = text.join(F.broadcast(picked), "__id").select("toxic", "__text")  # at most ``sample`` rows of two numbers
+    joined = text.join(F.broadcast(picked), "__id").select("__id", "toxic", "__text")  # at most ``sample`` rows of two numbers
     bits = options.get("bits", BITS)
-    # at most ``sample`` documents' buckets, as one Arrow table: no objects a row in either process
-    got = map_batches(joined, _bucket_rows, "toxic int, buckets binary", bits).toArrow()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    table = scratch.table(map_batches(joined, _bucket_rows, "id long, toxic int, buckets binary", bits), "sample")
+    # rows up to the bound, found from their sizes: the window is over the sample's rows alone
+    size = F.octet_length("buckets").cast("long")
+    key = table.select("id", F.xxhash64("id").alias("o"), size.alias("n")).groupBy("o", "id").agg(F.sum("n").alias("n"))
+    within = key.withColumn("upto", F.sum("n").over(W.orderBy("o", "id").rowsBetween(W.unboundedPreceding, 0))).where(F.col("upto") <= 4 * SAMPLE_BUCKETS).select("id")
+    # as one Arrow table: no objects a row in either process
+    got = table.join(F.broadcast(within), "id").select("toxic", "buckets").toArrow()
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     del got
     model = train(rows, **options)
     del rows
     trim()
+    scratch.drop(table)
     return model
 
 
@@ -253,10 +263,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic; all their columns, scored beside their text in one pass."""
+    """``docs`` without the rows predicted toxic; all their columns, whatever their names, scored beside their text in one pass.
+
+    Null and empty texts get the base score; repeated rows stay or go together; an empty table gives an empty table.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model.parts())
-    plain = docs.withColumn("__text", F.col(text_col).cast("binary"))
-    names = docs.columns
+    rows = packed(docs)
+    plain = rows.select("row", F.col(f"row.`{text_col}`").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return trimmed(kept(batches))
@@ -264,7 +277,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*held.value))
         for b in chunked(batches, 8 << 20):
-            keep = pa.array([scorer.of(t.as_py()) < 0.5 for t in b.column(len(names))])
-            yield b.select(range(len(names))).filter(keep)
+            keep = pa.array([scorer.of(t.as_py()) < 0.5 for t in b.column(1)], pa.bool_())
+            yield b.select([0]).filter(keep)
 
-    return plain.mapInArrow(run, docs.schema)
+    return unpacked(plain.mapInArrow(run, rows.schema), docs)

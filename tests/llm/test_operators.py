@@ -103,6 +103,17 @@ def test_jaccard(which, request):
     assert nulls == ([] if which == "docs" else [(1, "-5"), (2, "None")])
 
 
+def test_jaccard_documents_with_several_texts(spark):
+    """An id with two texts links what either is like; whole rows may repeat."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight nine", "only here and nowhere else at all")
+    rows = [(1, a), (3, a), (3, b), (7, b), (9, c), (9, c), (12, c), (None, c), (20, "x"), (20, "y"), (21, "y"), (22, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.groups(df).collect())
+    assert got == Counter([(1, 1), (3, 1), (3, 1), (7, 1), (9, 9), (9, 9), (12, 9), (None, 9), (20, 20), (20, 20), (21, 20), (22, 22)])
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(df).collect())
+    assert kept == Counter(r for r in rows if r[0] in (1, 9, 20, 22, None))
+
+
 def test_jaccard_near_copies_and_passages(spark):
     """Many near copies, some linked only through others; documents that share a passage; the borders of 0.8."""
     rng = np.random.default_rng(5)
@@ -336,6 +347,58 @@ def test_media_pcm(spark):
     assert bytes(out[1].payload) == b"abc" + bytes(61) and bytes(out[2].payload) == bytes(64)
 
 
+def plain_feature(name, samples):
+    """Twice the rate by the mean of neighbours; number, mean size, peak, sign changes."""
+    out = []
+    for k, v in enumerate(samples):
+        out += [v, (v + samples[k + 1]) >> 1 if k + 1 < len(samples) else v]
+    turns = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:], strict=False))
+    return f"{name}:{len(out)}:{sum(map(abs, out)) // len(out)}:{max(map(abs, out))}:{turns}"
+
+
+def plain_adpcm(block):
+    value, index = int.from_bytes(bytes(block[:2]), "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for nibble in (byte & 15, byte >> 4):
+            step = int(media.STEPS[index])
+            size = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+            value = max(-32768, min(32767, value + (-size if nibble & 8 else size)))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[nibble & 7]))
+            out.append(value)
+    return out
+
+
+def test_media_features(spark, docs):
+    df = docs.where("n_chars < 800").select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 64)], "doc_id long, text string"))
+    for r, t in [(r, dict(rows_of(df))[r.doc_id]) for r in media.digests(df).collect()]:
+        b = (t or "").encode()
+        b = b + bytes(-len(b) % 64) or bytes(64)
+        adpcm = [v for k in range(0, len(b), 64) for v in plain_adpcm(b[k : k + 64])]
+        assert r.feature == "|".join((plain_feature("adpcm", adpcm), plain_feature("alaw", [int(media.ALAW[c]) for c in b]), plain_feature("mulaw", [int(media.MULAW[c]) for c in b])))
+
+
+def test_media_files_of_other_formats(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 130, dtype=np.uint8).tobytes()
+
+    def file(tag, block, payload):
+        raw = bytearray(media.wav(payload, tag))
+        raw[32:34] = block.to_bytes(2, "little")
+        return bytes(raw)
+
+    files = [(1, file(6, 1, data)), (2, file(17, 36, data)), (3, file(7, 1, data[:5])), (4, None), (5, file(6, 1, b"")), (6, file(17, 36, data[:10]))]
+    df = spark.createDataFrame(files, "id long, media binary")
+    got = {r.id: r for r in media.store_pcm(df, f"{tmp_path}/pcm").collect()}
+    pcm = lambda k: np.frombuffer(got[k].pcm, np.int16)[::2].tolist()
+    assert pcm(1) == [int(media.ALAW[c]) for c in data] and pcm(3) == [int(media.MULAW[c]) for c in data[:5]]
+    want = [v for k in (0, 36, 72) for v in plain_adpcm(data[k : k + 36])]
+    assert pcm(2) == want and got[2].feature == plain_feature("adpcm", want)
+    assert got[4].pcm is None and got[4].payload is None and got[4].feature == "" and got[5].pcm == b"" and got[5].feature == "alaw:0:0:0:0" and got[6].pcm == b""
+    with pytest.raises(Exception, match="no decoder"):
+        media.read_media(spark.createDataFrame([(1, media.wav(b"ab", 1))], "id long, media binary")).collect()
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -385,13 +448,39 @@ def test_toxicity_learns_pairs_of_words_that_tell_nothing_alone():
     assert p("insult", "group") > 0.5 > max(p("insult"), p("group"), p())
 
 
+def plain_score(model, text):
+    """The machine's formula, term by term."""
+    import regex
+    import xxhash
+
+    words = set(regex.findall(r"[a-z0-9\x80-\xff]+", (text or "").encode().lower().decode("latin-1")))
+    forms = {f for w in words for f in (w, "^" + w[:4], "^" + w[:6])}
+    active = model.active.tolist()
+    hit = [k for k, b in enumerate(active) if b in {xxhash.xxh3_64_intdigest(f.encode("latin-1")) % (1 << model.bits) for f in forms}]
+    z = model.w0 + sum(model.w[k] for k in hit) + sum(float(np.dot(model.v[i], model.v[j])) for x, i in enumerate(hit) for j in hit[:x])
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_scores_by_formula(docs, odd, spark):
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert len(model.active) > 5
+    for df in (docs.where("n_chars < 2000"), odd):
+        text = rows_of(df)
+        got = toxicity.score(df, model).collect()
+        same([(r.doc_id, round(r.score, 9), r.predicted) for r in got], [(i, round(p, 9), int(p >= 0.5)) for i, p in ((i, plain_score(model, t)) for i, t in text)])
+        kept = toxicity.keep_clean(df, model)
+        assert kept.columns == df.columns and kept.dtypes == df.dtypes
+        same(map(repr, kept.collect()), [repr(r) for r in df.collect() if plain_score(model, r.text) < 0.5])
+    assert toxicity.keep_clean(odd.limit(0), model).count() == 0 and toxicity.score(odd.limit(0), model).count() == 0
+
+
 def test_toxicity_odd(odd, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(odd, toxicity.fit(odd, none)).collect()
     assert len(got) == odd.count() and all(r.predicted == 0 and 0 <= r.score < 0.5 for r in got)
     some = spark.createDataFrame([(None, 1), (3, None), (3, 1), (4, 0)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.fit(odd, some)).count() == odd.count()
-    assert toxicity.keep_clean(odd, toxicity.fit(odd, none)).columns == odd.columns
+    assert toxicity.score(odd, toxicity.fit(odd.limit(0), some)).count() == odd.count()
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
@@ -437,6 +526,21 @@ def test_chat_trees(spark):
     assert f.encode()[m.start : m.start + m.n] == b"a%255B%5Bx]"
 
 
+def test_chat_circles_and_repeated_nodes(spark):
+    nodes = [("a", 1, None, "user", "q", 1.0), ("a", 2, 1, "assistant", "r", 1.0), ("a", 2, 1, "assistant", "r", 1.0), ("a", 2, 1, "assistant", "s", 1.0)]
+    # 3 -> 5 -> 4 -> 3 with a leaf 9 under 5; a circle of two without a leaf; a node that is its own parent
+    nodes += [("b", 3, 4, "user", "x", None), ("b", 4, 5, "user", "y", None), ("b", 5, 3, "user", "z", None), ("b", 9, 5, "assistant", "w", None)]
+    nodes += [("c", 1, 2, "user", "m", 0.0), ("c", 2, 1, "user", "n", 0.0), ("d", 1, 1, "user", "o", 0.0), (None, None, None, None, None, None)]
+    df = spark.createDataFrame([(*n, "clash", 1) for n in nodes], "tree string, node long, parent long, role string, text string, score double, leaf string, up long")
+    said = {}
+    for r in chat.format_trees(df, best=9).collect():
+        said.setdefault(r.tree, []).append((r.leaf, r.formatted.replace("<|end|>", "").replace("<|user|>", " ").replace("<|assistant|>", " ").split()))
+    # a: one of the repeated nodes; b: opened at 3, so 3 is the root of 5, and 5 of 4 and 9; c: opened at 1; d: a root
+    assert said.pop("a") == [(2, ["q", "r"])]
+    assert sorted(said.pop("b")) == [(4, ["x", "z", "y"]), (9, ["x", "z", "w"])]
+    assert said.pop("c") == [(2, ["m", "n"])] and said.pop("d") == [(1, ["o"])]
+
+
 def test_chat_long_and_odd(spark):
     rows = [(1, k, "assistant" if k % 2 else "user", f"é{k}") for k in range(300)] + [(None, 1, None, None), (2, 5, "user", "tie"), (2, 5, "assistant", "tie"), (2, 5, "user", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -466,6 +570,14 @@ def test_importance(docs, spark):
             np.add.at(target, per[i], 1)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     assert all(abs(r.log_weight - ratio[per[r.doc_id]].sum()) < 1e-4 for r in got)
+    # the score is the weight and the noise of the id, and the noise is Gumbel's: mean 0.5772, variance pi^2 / 6
+    hashed = dict(docs.select("doc_id", F.xxhash64(F.lit(importance.SEED), "doc_id")).collect())
+    noise = {i: -math.log(-math.log((((h % 2**64) >> 11) + 0.5) / 2**53)) for i, h in hashed.items()}
+    score = {r.doc_id: ratio[per[r.doc_id]].sum() + noise[r.doc_id] for r in got}
+    assert all(abs(r.score - score[r.doc_id]) < 1e-4 for r in got)
+    assert abs(np.mean(list(noise.values())) - 0.5772) < 0.1 and abs(np.var(list(noise.values())) - 1.645) < 0.3
+    chosen = {i for i in sorted(score, key=lambda i: -score[i])[:300]}
+    assert {r.doc_id for r in got if r.kept} == chosen
 
 
 def test_importance_odd(odd, spark):
@@ -496,6 +608,30 @@ def test_token_counts(which, request):
     for r in got:
         assert sum(r.section_tokens) == r.n_tokens and len(r.section_tokens) == r.n_sections and r.first_tokens == r.section_tokens[0]
     same([(r.doc_id, r.n_sections) for r in got], [(i, max(1, t.count("\n") + (not t.endswith("\n")))) for i, t in text])
+    # each section's tokens: a token at a time, to the section that has most of its characters
+    size = {i: b for b, i in bpe.load_ranks(path).items()}
+    want = []
+    for i, t in text:
+        raw, lines = t.encode(), [len(x.encode()) for x in t.splitlines(keepends=True)] if "\r" not in t and t.isascii() else None
+        if lines is None or len(raw) > 50_000:
+            continue
+        per, at, k, begin, crossing = [0] * max(1, len(lines)), 0, 0, 0, 0
+        for token in enc.encode_ordinary(t):
+            end, held, j, lo = at + len(size[token]), [], k, begin
+            while True:
+                hi = lo + lines[j]
+                held.append((min(end, hi) - max(at, lo), -j))
+                if end <= hi:
+                    break
+                lo, j = hi, j + 1
+            per[-max(held)[1]] += 1
+            crossing += sum(n > 0 for n, _ in held) > 1
+            at = end
+            while k < len(lines) - 1 and at >= begin + lines[k]:
+                begin, k = begin + lines[k], k + 1
+        want.append((i, tuple(per), crossing))
+    left = Counter((r.doc_id, tuple(r.section_tokens), r.n_crossing) for r in got)
+    assert want and not Counter(want) - left
 
 
 def test_allocation_rule():
