@@ -55,24 +55,31 @@ def targets(sources: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEI
     return rows.withColumn("target", F.when(F.sum("source_size").over(everyone) > 0, share).otherwise(F.lit(0.0))).drop("__w", "__cap", "__level", "__n")
 
 
-def permuted(x: str, n: str, keys: str, inverse: bool = False) -> str:
-    """A pseudorandom permutation of 0..n-1 at ``x``, or its inverse, in SQL: Feistel rounds over a mixed-radix square that just holds n, walked back into range.
+def permuted(df: DataFrame, name: str, x: str, n: str, keys: str, inverse: bool = False) -> DataFrame:
+    """Adds ``name``: a pseudorandom permutation of 0..n-1 at ``x``, or its inverse: Feistel rounds over a mixed-radix square that just holds n, walked back into range.
 
-    Each round names the one before (``let``) instead of repeating it, so the expression stays small.
+    ``x``, ``n`` and ``keys`` are SQL. A round is a column, which the next ones name
+    instead of repeating it. To be written before it is joined or filtered: the
+    planner follows each column through all rounds.
     """
     steps = []  # (half that changes, the other, its modulus)
     for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
         two = [("lft", "rgt", "wide", k), ("rgt", "lft", "high", -1 - k)]
         steps += two[::-1] if inverse else two
     sign = "-" if inverse else "+"
+    rounds = [(half, f"pmod({half} {sign} pmod(xxhash64({k}, {other}, {keys}), {m}), {m})") for half, other, m, k in steps]
+    df = df.withColumns({"many": F.expr(f"cast({n} as bigint)"), "at_": F.expr(f"cast({x} as bigint)")}).withColumn("wide", F.expr("greatest(1L, cast(ceil(sqrt(cast(many as double))) as bigint))"))
+    df = df.withColumn("high", F.expr("greatest(1L, cast(ceil(many / wide) as bigint))")).withColumns({"lft": F.expr("at_ div high"), "rgt": F.expr("pmod(at_, high)")})
+    for half, step in rounds:
+        df = df.withColumn(half, F.expr(step))
     once = "lft * high + rgt"
-    for half, other, m, k in reversed(steps):
-        once = let(f"pmod({half} {sign} pmod(xxhash64({k}, {other}, {keys}), {m}), {m})", half, once)
-    once = let("at div high", "lft", let("pmod(at, high)", "rgt", once))
+    for half, step in reversed(rounds):
+        once = let(step, half, once)
+    once = let("acc div high", "lft", let("pmod(acc, high)", "rgt", once))
     # the places beyond n are fewer than the square is wide: a walk longer than 64 steps would need as many of them in a row
-    walk = f"pmod(aggregate(sequence(1, 64), first, (at, i) -> if(at < {n}, at, {once})), {n})"
-    first = let(let(f"cast({x} as bigint)", "at", once), "first", f"if(first < {n}, first, {walk})")
-    return let(f"cast(greatest(1, ceil(sqrt(cast({n} as double)))) as bigint)", "wide", let(f"cast(greatest(1, ceil({n} / wide)) as bigint)", "high", first))
+    walk = f"pmod(aggregate(sequence(1, 64), spot_, (acc, i) -> if(acc < many, acc, {once})), many)"
+    df = df.withColumn("spot_", F.expr("lft * high + rgt")).withColumn(name, F.expr(f"if(spot_ < many, spot_, {walk})"))
+    return df.drop("many", "at_", "wide", "high", "lft", "rgt", "spot_")
 
 
 def offsets(rows: DataFrame, spread: int) -> DataFrame:
@@ -92,7 +99,7 @@ def due(rows: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
     out = out.withColumn("epoch", F.expr("if(want > 0, want div source_size, 0)")).withColumn("rest", F.expr("if(want > 0, want % source_size, 0)"))
     # the partly empty block: how many words it lacks, and which slot of the last epoch it is
     out = out.withColumn("lacks", F.col("blocks") * block - F.col("source_size"))
-    out = out.withColumn("at", F.expr(permuted("greatest(blocks - 1, 0)", "greatest(blocks, 1)", f"{seed}, source, cast(epoch as int)", inverse=True)))
+    out = permuted(out, "at", "greatest(blocks - 1, 0)", "greatest(blocks, 1)", f"{seed}, source, cast(epoch as int)", inverse=True)
     m = F.expr(f"if(rest = 0, 0, if(at >= ceil(rest / {block}), ceil(rest / {block}), ceil((rest + lacks) / {block})))").cast("long")
     out = out.withColumn("m", m).withColumn("slots", F.expr("epoch * blocks + m"))
     out = out.withColumn("last", F.expr(f"if(rest = 0, {block}, rest - (m - 1) * {block} + if(at < m - 1, lacks, 0))"))
@@ -107,7 +114,8 @@ def slots(sources: DataFrame, seed: int = 1, block: int = BLOCK, shard: int = SH
     step, tasks = max(shard, -(-every // RANGES)), min(20_000, max(8, every // TASK_SLOTS))
     ranges = sources.where("slots > 0").withColumn("lo", F.explode(F.expr(f"sequence(0, slots - 1, {step})"))).repartition(tasks, "source", "lo")
     rows = ranges.select("*", F.explode(F.expr(f"sequence(lo, least(lo + {step}, slots) - 1)")).alias("j")).withColumn("epoch", F.expr("j div blocks"))
-    rows = rows.withColumn("b", F.expr(permuted("j % blocks", "blocks", f"{seed}, source, cast(epoch as int)"))).withColumn("spot", F.expr(permuted("base + j", f"{max(1, every)}L", str(seed))))
+    rows = permuted(rows, "b", "j % blocks", "blocks", f"{seed}, source, cast(epoch as int)")
+    rows = permuted(rows, "spot", "base + j", str(max(1, every)), str(seed))
     return rows.select(F.expr(f"spot div {shard}").alias("shard"), F.expr(f"spot % {shard}").alias("place"), "source", F.col("epoch").cast("int").alias("epoch"), "b", F.expr(f"if(j = slots - 1, last, {block})").cast("long").alias("take"))
 
 
@@ -128,7 +136,7 @@ def plan(rows: DataFrame, scratch: Scratch, seed: int = 1, block: int = BLOCK) -
     document are taken in those epochs.
     """
     sources = scratch.table(due(rows, seed, block), "sources")
-    taken = slots(sources, seed, block).groupBy(F.col("source").alias("s"), F.col("b").alias("__b"), "take").agg(F.sum(F.expr("shiftleft(1, epoch)")).alias("epochs"))
+    taken = scratch.table(slots(sources, seed, block), "slots", "snappy").groupBy(F.col("source").alias("s"), F.col("b").alias("__b"), "take").agg(F.sum(F.expr("shiftleft(1, epoch)")).alias("epochs"))
     # the planner takes what is exploded from a few sources for small: both sides grow with the input and are to be shuffled
     met = parts(rows, block).join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b")))
     return sources, met.withColumn("n", F.least(F.col("n"), F.col("take") - F.col("into"))).where("n > 0").select("doc", "copy", "epochs", "first", "n")
@@ -208,5 +216,5 @@ def mixed_blocks(docs: DataFrame, seed: int = 1) -> DataFrame:
     cut = parts(rows).groupBy("doc").agg(F.collect_list(F.struct("b", "into", "first", "n")).alias("parts")).join(text, "doc").withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     pieces = cut.select(F.col("doc.source").alias("source"), "words", F.explode("parts").alias("p")).select("source", F.col("p.b").alias("b"), F.col("p.into").alias("into"), F.expr("slice(words, cast(p.first + 1 as int), cast(p.n as int))").alias("words"))
     blocks = pieces.groupBy(F.col("source").alias("s"), F.col("b").alias("__b")).agg(F.expr("flatten(transform(array_sort(collect_list(struct(into, words))), x -> x.words))").alias("words"))
-    met = slots(sources, seed).join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b")))
+    met = scratch.table(slots(sources, seed), "slots", "snappy").join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("__b")))
     return met.select("shard", "place", "source", F.expr("array_join(slice(words, 1, cast(take as int)), ' ')").alias("text"))

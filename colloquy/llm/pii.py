@@ -48,7 +48,8 @@ SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
 TERM, OWN, OWN_LENGTH = r"[\p{L}\p{M}\p{N}]{2,}+", 2, 3
 #: What takes the place of a term: by what it is made of.
 GENERAL = {r"^\p{N}+$": "[NUMBER]", r"\p{N}": "[CODE]", "": "[TERM]"}
-_BLOCK = 256
+#: Items of a block of a running sum; telling terms of a text that are looked for by name.
+_BLOCK, _MANY = 256, 200
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -87,16 +88,16 @@ def _holds(kind: str, m: str) -> str:
 
 
 def positions(text: str, pattern: str) -> str:
-    """array<struct<start, end, value>> of a pattern's matches, leftmost first, without overlaps, in code points."""
-    parts = f"transform(split({text}, r'{pattern}', -1), (g, i) -> named_struct('g', char_length(g), 'm', get(found, i)))"
+    """array<struct<start, end, value>> of the matches of a pattern (SQL), leftmost first, without overlaps, in code points."""
+    parts = f"transform(split({text}, {pattern}, -1), (g, i) -> named_struct('g', char_length(g), 'm', get(found, i)))"
     ends = running("transform(parts, x -> x.g + coalesce(char_length(x.m), 0))", _plus)
     at = "filter(transform(parts, (x, i) -> named_struct('start', get(ends, i) - char_length(x.m), 'end', get(ends, i), 'value', x.m)), x -> x.value is not null)"
-    return let(f"regexp_extract_all({text}, r'{pattern}', 0)", "found", let(parts, "parts", let(ends, "ends", at)))
+    return let(f"regexp_extract_all({text}, {pattern}, 0)", "found", let(parts, "parts", let(ends, "ends", at)))
 
 
 def _found(text: str, kind: str) -> str:
     """array<struct<start, kind, end, value>> of a kind's spans."""
-    kept = f"filter({positions(text, PATTERNS[kind])}, s -> {_holds(kind, 's.value')})"
+    kept = f"filter({positions(text, f"r'{PATTERNS[kind]}'")}, s -> {_holds(kind, 's.value')})"
     shaped = f"transform({kept}, s -> named_struct('start', s.start, 'kind', {KINDS.index(kind)}, 'end', s.end, 'value', s.value))"
     return f"if({text} rlike r'{NEEDS[kind]}', {shaped}, cast(array() as {_SPANS}))"
 
@@ -134,7 +135,7 @@ _ADDRESSES = "array_distinct(transform(filter(spans, s -> s.kind = 0), s -> s.va
 
 def _terms(text: str) -> str:
     """Distinct terms of a text, in lower case."""
-    return f"array_distinct(transform(regexp_extract_all({text}, r'{TERM}', 0), t -> lower(t)))"
+    return f"array_distinct(regexp_extract_all(lower({text}), r'{TERM}', 0))"
 
 
 def _own(value: str) -> str:
@@ -196,7 +197,9 @@ def infer(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     # of a term's entities only the one that it tells most of counts: that with the largest share, whatever n(t) turns out to be at least n_some
     pairs = scratch.table(joint.unionByName(alone).distinct().join(n_some, "term").where(share(F.col("n_some")) >= GENERALISE - 1e-9), "pairs", "snappy")
     wanted = small(pairs.select("term").distinct())
-    plain = rows.join(small(some.select("id0", "h").distinct()), ["id0", "h"], "left_anti").select("id0", "h", F.expr(_terms("t")).alias("terms"))
+    # runs of a single character are in here too, but no term is
+    runs = F.expr(r"array_distinct(split(lower(t), r'[^\p{L}\p{M}\p{N}]++'))").alias("terms")
+    plain = rows.join(small(some.select("id0", "h").distinct()), ["id0", "h"], "left_anti").select("id0", "h", runs)
     every = some.select("id0", "h", "terms").unionByName(plain).select("id0", "h", F.explode("terms").alias("term"))
     at = scratch.table(every.join(wanted, "term", "left_semi"), "at", "snappy")
     n_t = at.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
@@ -220,9 +223,19 @@ def _general(term: Column) -> Column:
     return out
 
 
+def _wanted(text: str, said: str) -> str:
+    """A pattern that finds the telling terms of a text, and perhaps others: those terms as whole runs, in any case.
+
+    If there are many, or a capital whose small form is longer, any term.
+    """
+    mark = r"[\p{L}\p{M}\p{N}]"
+    own = f"concat(r'(?iu)(?<!{mark})(?:', array_join(map_keys({said}), '|'), r')(?!{mark})')"
+    return f"if(size({said}) > {_MANY} or instr({text}, '\u0130') > 0, r'{TERM}', {own})"
+
+
 def _term_spans(text: str, spans: str, said: str) -> str:
     """The spans of telling terms, outside ``spans``."""
-    kept = f"filter({positions('p.text', TERM)}, t -> map_contains_key({said}, lower(t.value)))"
+    kept = f"filter({positions('p.text', 'wanted')}, t -> map_contains_key({said}, lower(t.value)))"
     return f"flatten(transform({pieces(text, spans)}, p -> transform({kept}, t -> named_struct('start', t.start + p.lo, 'kind', {len(PATTERNS)}, 'end', t.end + p.lo, 'value', lower(t.value)))))"
 
 
@@ -240,7 +253,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t")).select(*_keys(F.col("i"), F.col("t")), "t")
     telling = rows.join(small(verdicts), ["id0", "h"]).dropDuplicates(["id0", "h"]).join(found.select("id0", "h", "spans").dropDuplicates(["id0", "h"]), ["id0", "h"])
-    added = telling.select("id0", "h", F.expr(_term_spans("t", "spans", "said")).alias("added"))
+    added = telling.withColumn("wanted", F.expr(_wanted("t", "said"))).select("id0", "h", F.expr(_term_spans("t", "spans", "said")).alias("added"))
     out = found.select("doc_id", "id0", "h", "spans").join(added, ["id0", "h"], "left").withColumn("added", F.coalesce("added", F.array().cast(_SPANS)))
     base = F.sha2(F.expr(_listed("spans")), 256).alias("base_sha256")
     return out.select("doc_id", *_counts(), base, F.expr(_listed("concat(spans, added)")).alias("all_spans"), F.size("added").cast("long").alias("n_term")).withColumnRenamed("all_spans", "spans")
@@ -261,7 +274,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     out = keyed.join(small(spanned), ["id0", "h"], "left").join(small(verdicts), ["id0", "h"], "left")
     out = out.withColumn("hit", F.col("spans").isNotNull() | F.col("said").isNotNull()).withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
     put = "concat(g, coalesce(element_at(said, lower(get(found, i))), get(found, i), ''))"
-    written = let(f"regexp_extract_all(p.text, r'{TERM}', 0)", "found", f"array_join(transform(split(p.text, r'{TERM}', -1), (g, i) -> {put}), '')")
+    out = out.withColumn("wanted", F.when(F.col("said").isNotNull(), F.expr(_wanted("t", "said"))))
+    written = let("regexp_extract_all(p.text, wanted, 0)", "found", f"array_join(transform(split(p.text, wanted, -1), (g, i) -> {put}), '')")
     marks = ", ".join(f"'[{k.upper()}]'" for k in PATTERNS)
     whole = f"array_join(transform({pieces('t', 'spans')}, p -> concat(if(said is null, p.text, {written}), coalesce(get(array({marks}), p.kind), ''))), '')"
     out = out.withColumn("new", F.when(F.col("hit"), F.expr(whole)).otherwise(F.col("row.text")))

@@ -207,8 +207,9 @@ def test_mixing_per_document(which, request, spark):
     """Sizes, slots and parts hold what they should; ``taken`` of each document, added up in plain Python from them."""
     df = mixed_oddly(spark) if which == "mixed_oddly" else request.getfixturevalue(which)
     rows = mixing._numbered(mixing._sizes(df, "doc_id", "text", "source")).cache()
-    sources = {r.source: r for r in mixing.due(rows).collect()}
-    slots, parts = mixing.slots(mixing.due(rows), shard=64).collect(), mixing.parts(rows).collect()
+    due = Scratch(spark, "due").table(mixing.due(rows))
+    sources = {r.source: r for r in due.collect()}
+    slots, parts = mixing.slots(due, shard=64).collect(), mixing.parts(rows).collect()
     # each slot of the mix is drawn once; a source's slots are its blocks, each once an epoch
     every = len(slots)
     assert {(r.shard, r.place) for r in slots} == {(k // 64, k % 64) for k in range(every)} and every == sum(r.slots for r in sources.values())
@@ -271,8 +272,8 @@ def test_mixing_targets_cap(spark):
 
 def test_mixing_permutation(spark):
     for n in (1, 2, 3, 7, 64, 1000, 4097):
-        df = spark.range(n).select("id", F.expr(mixing.permuted("id", f"{n}L", "3")).alias("p"))
-        back = df.withColumn("q", F.expr(mixing.permuted("p", f"{n}L", "3", inverse=True))).collect()
+        df = mixing.permuted(spark.range(n), "p", "id", str(n), "3")
+        back = mixing.permuted(df, "q", "p", str(n), "3", inverse=True).collect()
         assert sorted(r.p for r in back) == list(range(n)) and all(r.id == r.q for r in back)
 
 
