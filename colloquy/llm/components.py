@@ -5,39 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot
+from .common import Scratch
 
 
-def _large(edges: DataFrame, n: int) -> DataFrame:
+def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return join_hot(both, least, ["a"], "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame, n: int) -> DataFrame:
+def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = join_hot(down, least, ["a"], "n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node of an edge (a, b), a <> b: comp is the smallest node that can be reached.
 
-    Counting and minima combine before the shuffle, and the edges of a node with
-    many of them stay where they are. The rounds grow with the logarithm of the
-    longest path; each is written twice, as both halves count their edges.
+    Minima combine before the shuffle, so a node with a third of all edges is a few
+    rows a task there; the joins with them are left to adaptive skew handling. The rounds grow with the logarithm of the
+    longest path; each is written once.
     """
     seen = None
     edges = scratch.table(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    n = edges.count()
     while True:
-        large = scratch.table(_large(edges, n), "large")
-        small_ = scratch.table(_small(large, large.count()), "stars")
-        scratch.drop(edges, large)
-        edges = small_
+        before, edges = edges, scratch.table(_small(_large(edges)), "stars")
+        scratch.drop(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
             return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
-        seen, n = now, now[0]
+        seen = now
