@@ -7,8 +7,9 @@ session's turns, a stream's frames of a day.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,45 +39,55 @@ def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callabl
 # ---- voice activity ----------------------------------------------------------
 
 
-@dataclass
-class Activity:
-    """The segmenter's state over frames of speech probability; sample numbers throughout (16 kHz by default)."""
+#: What is open: where speech began, and where it was last heard.
+Open = tuple[int, int]
+
+
+@dataclass(frozen=True)
+class VoiceRule:
+    """When frames of speech probability are a span; in samples (16 kHz by default).
+
+    Speech opens with a voiced frame and closes where it was last heard, once
+    ``min_silence`` has passed without; speech of ``longest`` is cut and goes on.
+    Spans shorter than ``min_speech`` are none; ``pad`` is kept around the others.
+    """
 
     threshold: float = 0.5
     min_speech: int = 4_000
     min_silence: int = 8_000
     pad: int = 3_200
     longest: int = 480_000
-    speaking: bool = False
-    start: int = 0
-    voiced_end: int = 0
-    cursor: int = 0
-
-    def _span(self, end: int) -> Iterator[dict]:
-        if end - self.start >= self.min_speech:
-            yield {"start": max(0, self.start - self.pad), "end": min(end + self.pad, self.cursor), "voiced_start": self.start, "voiced_end": end}
-
-    def push(self, prob: float, at: int, length: int) -> Iterator[dict]:
-        self.cursor = at + length
-        voiced = prob >= self.threshold
-        if not self.speaking:
-            if voiced:
-                self.speaking, self.start, self.voiced_end = True, at, self.cursor
-            return
-        if voiced:
-            self.voiced_end = self.cursor
-        if self.cursor - self.start >= self.longest:
-            end = self.cursor
-            yield from self._span(end)
-            self.speaking, self.start, self.voiced_end = voiced, end, end
-        elif not voiced and self.cursor - self.voiced_end >= self.min_silence:
-            yield from self._span(self.voiced_end)
-            self.speaking = False
-
-    def flush(self) -> Iterator[dict]:
-        if self.speaking:
-            yield from self._span(self.voiced_end)
-            self.speaking = False
+
+    def span(self, begin: int, end: int, heard: int) -> list[dict]:
+        """The span of what has closed, if it is long enough; ``heard`` is as far as there is sound to keep."""
+        if end - begin < self.min_speech:
+            return []
+        return [{"start": max(0, begin - self.pad), "end": min(heard, end + self.pad), "voiced_start": begin, "voiced_end": end}]
+
+    def after(self, open_: Open | None, at: int, length: int, prob: float) -> tuple[Open | None, list[dict]]:
+        """(what is open after a frame, what it closed)."""
+        heard, voiced = at + length, prob >= self.threshold
+        begin, last = (at if voiced else None, heard) if open_ is None else (open_[0], heard if voiced else open_[1])
+        if begin is None:
+            return None, []
+        if open_ is not None and heard - begin >= self.longest:
+            return (heard, heard) if voiced else None, self.span(begin, heard, heard)
+        if heard - last >= self.min_silence:
+            return None, self.span(begin, last, heard)
+        return (begin, last), []
+
+    def close(self, open_: Open | None, heard: int) -> list[dict]:
+        """What the end of the frames closes."""
+        return [] if open_ is None else self.span(*open_, heard)
+
+    def spans(self, frames: Iterable[tuple[int, int, float]]) -> Iterator[dict]:
+        """Spans of (at, length, prob) in order."""
+        open_, heard = None, 0
+        for at, length, prob in frames:
+            open_, closed = self.after(open_, at, length, prob)
+            heard = at + length
+            yield from closed
+        yield from self.close(open_, heard)
 
 
 SPAN = "start bigint, end bigint, voiced_start bigint, voiced_end bigint"
@@ -84,14 +95,8 @@ SPAN = "start bigint, end bigint, voiced_start bigint, voiced_end bigint"
 
 def voice_spans(frames: DataFrame, keys: Sequence[str], **limits) -> DataFrame:
     """Spans of speech of frames (keys, at, length, prob): a silence closes at the last voiced end; what is too long is cut and goes on."""
-
-    def run(rows: list[dict]) -> Iterator[dict]:
-        state = Activity(**limits)
-        for r in rows:
-            yield from state.push(r["prob"], r["at"], r["length"])
-        yield from state.flush()
-
-    return folded(frames, keys, ["at"], run, SPAN)
+    rule = VoiceRule(**limits)
+    return folded(frames, keys, ["at"], lambda rows: rule.spans((r["at"], r["length"], r["prob"]) for r in rows), SPAN)
 
 
 # ---- turn merging ------------------------------------------------------------
@@ -118,51 +123,54 @@ def merged_turns(spans: DataFrame, keys: Sequence[str], gap: int = 24_000, longe
 
 # ---- threads -----------------------------------------------------------------
 
+#: Voices that a thread knows: those that spoke last.
 RECENT = 4
 
 
-@dataclass
 class _Thread:
-    number: int
-    last: int
-    recent: list = field(default_factory=list)
-    voices: set = field(default_factory=set)
-    turns: int = 0
+    """A thread so far: when it ended, its latest voices, and how many of its turns have a voice, of how many voices."""
+
+    def __init__(self, number: int, end: int):
+        self.number, self.end, self.labelled = number, end, 0
+        self.latest: deque = deque(maxlen=RECENT)
+        self.everyone: set = set()
 
-    def take(self, speaker, end: int) -> None:
-        self.last = max(self.last, end)
-        if speaker is not None:
-            self.turns += 1
-            self.voices.add(speaker)
-            self.recent = [speaker, *(s for s in self.recent if s != speaker)][:RECENT]
+    @property
+    def settled(self) -> bool:
+        """Somebody has spoken twice."""
+        return self.labelled > len(self.everyone)
+
+    def add(self, voice, end: int) -> None:
+        self.end = max(self.end, end)
+        if voice is None:
+            return
+        self.labelled += 1
+        self.everyone.add(voice)
+        if voice in self.latest:
+            self.latest.remove(voice)
+        self.latest.append(voice)
 
 
 def place_turns(rows: Iterable[dict], gap_ns: int) -> Iterator[dict]:
-    """Adds ``thread`` (1, 2, ... in the group): an open thread that knows the voice, else one that has not settled, else a new one.
+    """Adds ``thread`` (1, 2, ... in the group): an open thread that knows the voice, else the nearest if it has not settled, else a new one.
 
     Open: its last turn ended at most ``gap_ns`` before. A turn without a voice
-    joins the nearest. A thread has settled once it has more labelled turns than
-    voices; it knows its last four voices.
+    joins the nearest, the one that ended last (of two, the younger). A thread has
+    settled once it has more labelled turns than voices; it knows its last four.
     """
-    open_: list[_Thread] = []
-    made = 0
-    for r in rows:
-        open_ = [t for t in open_ if max(0, r["t_start_ns"] - t.last) <= gap_ns]
-        near = sorted(open_, key=lambda t: (-t.last, -t.number))
-        who = r["speaker_id"]
-        pick = None
-        if near and who is None:
-            pick = near[0]
-        elif near:
-            pick = next((t for t in near if who in t.recent), None)
-            if pick is None and near[0].turns <= len(near[0].voices):
-                pick = near[0]
-        if pick is None:
+    open_, made = [], 0
+    for row in rows:
+        begin, voice = row["t_start_ns"], row["speaker_id"]
+        # the nearest first
+        open_ = sorted((t for t in open_ if begin - t.end <= gap_ns), key=lambda t: (t.end, t.number), reverse=True)
+        nearest = open_[:1]
+        home = nearest if voice is None else [t for t in open_ if voice in t.latest] or [t for t in nearest if not t.settled]
+        if not home:
             made += 1
-            pick = _Thread(made, r["t_start_ns"])
-            open_.append(pick)
-        pick.take(who, r["t_end_ns"])
-        yield {"id": r["id"], "thread": pick.number}
+            home = [_Thread(made, begin)]
+            open_ += home
+        home[0].add(voice, row["t_end_ns"])
+        yield {"id": row["id"], "thread": home[0].number}
 
 
 def thread_turns(turns: DataFrame, keys: Sequence[str], gap_s: float = 20.0) -> DataFrame:

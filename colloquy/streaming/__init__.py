@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..core import NS
-from ..operators.sequences import Activity
+from ..operators.sequences import VoiceRule
 
 
 def event_counts(events: DataFrame, window: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -72,23 +71,27 @@ def _merged(rows: list[dict], gap: int, longest: int) -> list[dict]:
 
 def voice_stream(frames: DataFrame, idle_ms: int | None = 60_000, **limits) -> DataFrame:
     """Voice activity over a stream of frames (key, at, length, prob): the segmenter's state a key; a stream that falls silent is flushed."""
-    names = ["speaking", "start", "voiced_end", "cursor"]
+    rule = VoiceRule(**limits)
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seg = Activity(**limits, **(dict(zip(names, state.get, strict=True)) if state.exists else {}))
+        begin, last, heard = state.get if state.exists else (None, None, 0)
+        open_ = None if begin is None else (begin, last)
         if state.hasTimedOut:
             state.remove()
-            out = list(seg.flush())
+            out = rule.close(open_, heard)
         else:
-            out = [s for r in pd.concat(list(pdfs)).sort_values("at").itertuples() for s in seg.push(r.prob, int(r.at), int(r.length))]
-            now = asdict(seg)
-            state.update(tuple(now[n] for n in names))
+            out = []
+            for r in pd.concat(list(pdfs)).sort_values("at").itertuples():
+                open_, closed = rule.after(open_, int(r.at), int(r.length), r.prob)
+                heard = int(r.at) + int(r.length)
+                out += closed
+            state.update((*(open_ or (None, None)), heard))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame([{"key": key[0], **s} for s in out])[["key", "start", "end", "voiced_start", "voiced_end"]]
 
-    return frames.groupBy("key").applyInPandasWithState(run, _SPAN, "speaking boolean, start long, voiced_end long, cursor long", "append", _timeout(idle_ms is not None))
+    return frames.groupBy("key").applyInPandasWithState(run, _SPAN, "start long, voiced_end long, heard long", "append", _timeout(idle_ms is not None))
 
 
 def span_stream(edges: DataFrame, open_ms: int = 30_000, timeout: bool = True) -> DataFrame:
