@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import accuracy, joins, sequences, truth
 from .base import EVENTS, HOUR, event_turns, query, r6, table, turns
 
-# Spans: a user's event opens one that lasts until the next event, three hours at most. Turns: every seventh event, of a day's length.
+# Spans: a user's event opens one that lasts until the next event, a quarter of an hour at most. Turns: every event, of up to twenty minutes.
+_CAP, _STEP = HOUR // 4, HOUR // 12
 _SPANS = f"""{EVENTS}, sp AS (
-  SELECT speaker_id % 20 AS user_id, 'u' || (speaker_id % 40) AS name, t_start_ns AS s_start, least(t_start_ns + 3 * {HOUR}, coalesce(lead(t_start_ns) OVER (PARTITION BY speaker_id ORDER BY t_start_ns), t_start_ns + 3 * {HOUR})) AS s_end FROM ev
-), tu AS (SELECT id, t_start_ns, t_start_ns + (id % 5) * {HOUR} AS t_end_ns FROM ev WHERE id % 7 = 0
+  SELECT speaker_id % 20 AS user_id, 'u' || (speaker_id % 40) AS name, t_start_ns AS s_start, least(t_start_ns + {_CAP}, coalesce(lead(t_start_ns) OVER (PARTITION BY speaker_id ORDER BY t_start_ns), t_start_ns + {_CAP})) AS s_end FROM ev
+), tu AS (SELECT id, t_start_ns, t_start_ns + (id % 5) * {_STEP} AS t_end_ns FROM ev
 ), cut AS (SELECT id, t_start_ns, t_end_ns, user_id, name, s_start, greatest(s_start, t_start_ns) AS lo, least(s_end, t_end_ns) AS hi FROM tu JOIN sp ON s_start < t_end_ns AND t_start_ns < s_end AND s_start < s_end AND t_start_ns < t_end_ns
 ), mg AS (SELECT *, sum(nw) OVER (PARTITION BY id, user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM (
   SELECT *, CASE WHEN max(hi) OVER (PARTITION BY id, user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= lo THEN 0 ELSE 1 END AS nw FROM cut)
@@ -22,10 +23,10 @@ def _spans(spark, sf):
     from pyspark.sql import Window as W
 
     e = event_turns(spark, sf)
-    cap = F.col("t_start_ns") + 3 * HOUR
+    cap = F.col("t_start_ns") + _CAP
     end = F.least(cap, F.coalesce(F.lead("t_start_ns").over(W.partitionBy("speaker_id").orderBy("t_start_ns")), cap))
     spans = e.select((F.col("speaker_id") % 20).alias("user_id"), F.concat(F.lit("u"), F.col("speaker_id") % 40).alias("name"), F.col("t_start_ns").alias("s_start"), end.alias("s_end"))
-    rows = e.where("id % 7 = 0").select("id", "t_start_ns", (F.col("t_start_ns") + (F.col("id") % 5) * HOUR).alias("t_end_ns"))
+    rows = e.select("id", "t_start_ns", (F.col("t_start_ns") + (F.col("id") % 5) * _STEP).alias("t_end_ns"))
     return rows, spans
 
 
@@ -49,10 +50,10 @@ def asof_visit(spark, sf):
     return joins.asof_join(l, o, ["k"], "t", "s", "e").select("l_orderkey", "l_linenumber", "visit")
 
 
-@query(f"WITH {_SPANS}, nm AS (SELECT id, user_id, arg_max(name, s_start) AS name FROM cut GROUP BY ALL) SELECT id, user_id, name, round(frac, 6) AS frac FROM cov JOIN nm USING (id, user_id)")
+@query(f"WITH {_SPANS}, nm AS (SELECT id, user_id, arg_max(name, s_start) AS name FROM cut GROUP BY ALL) SELECT id, user_id, name, round(frac, 9) AS frac FROM cov JOIN nm USING (id, user_id)")
 def interval_coverage(spark, sf):
     rows, spans = _spans(spark, sf)
-    return truth.coverage(truth.clipped(rows, spans, 3 * HOUR)).withColumn("frac", r6("frac"))
+    return truth.coverage(truth.clipped(rows, spans, _CAP)).withColumn("frac", F.round("frac", 9))
 
 
 @query(f"""WITH {_SPANS}, p AS (SELECT id, count(*) AS n, max(user_id) AS u, max(frac) AS f FROM cov WHERE frac >= 0.2 GROUP BY id
@@ -62,7 +63,7 @@ SELECT tu.id, CASE WHEN n >= 2 THEN 'overlap' WHEN n = 1 AND f >= 0.8 THEN 'sing
 FROM tu LEFT JOIN p USING (id) LEFT JOIN near USING (id)""")
 def verdict_table(spark, sf):
     rows, spans = _spans(spark, sf)
-    cover = truth.coverage(truth.clipped(rows, spans, 3 * HOUR))
+    cover = truth.coverage(truth.clipped(rows, spans, _CAP))
     return truth.verdicts(rows, cover, truth.reached(rows, spans)).withColumn("frac", r6("frac"))
 
 
@@ -71,7 +72,7 @@ def verdict_table(spark, sf):
 SELECT id, round(coalesce(sum(until - t) FILTER (depth >= 2), 0) / any_value(b - a), 6) AS frac FROM dp GROUP BY id""")
 def simultaneous_frac(spark, sf):
     rows, spans = _spans(spark, sf)
-    return truth.simultaneous(truth.clipped(rows, spans, 3 * HOUR)).withColumn("frac", r6("frac"))
+    return truth.simultaneous(truth.clipped(rows, spans, _CAP)).withColumn("frac", r6("frac"))
 
 
 @query(f"""WITH {EVENTS}, k AS (SELECT speaker_id % 30 AS user_id, CASE source WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 END AS label, count(*) AS n FROM ev GROUP BY ALL
@@ -125,10 +126,10 @@ def speaking_spans(spark, sf):
     return sequences.speaking_spans(e, ["speaker_id"], 6 * HOUR)
 
 
-@query(f"""WITH {EVENTS}, a AS (SELECT speaker_id % 6 AS n, t_start_ns AS lo, t_end_ns AS hi FROM ev WHERE id % 5 = 0
+@query(f"""WITH {EVENTS}, a AS (SELECT speaker_id % 6 AS n, t_start_ns AS lo, t_end_ns AS hi FROM ev
 ), m AS (SELECT *, sum(nw) OVER (PARTITION BY n ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN max(hi) OVER (PARTITION BY n ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= lo THEN 0 ELSE 1 END AS nw FROM a)
 ), u AS (SELECT n, run, min(lo) AS lo, max(hi) AS hi FROM m GROUP BY ALL)
 SELECT x.n AS name, y.n AS other, round(sum(least(x.hi, y.hi) - greatest(x.lo, y.lo)) / 1e9, 3) AS seconds FROM u x JOIN u y ON x.n < y.n AND x.lo < y.hi AND y.lo < x.hi GROUP BY ALL""")
 def roster_copresence(spark, sf):
-    p = event_turns(spark, sf).where("id % 5 = 0").select((F.col("speaker_id") % 6).alias("name"), F.col("t_start_ns").alias("joined_ns"), F.col("t_end_ns").alias("left_ns"))
+    p = event_turns(spark, sf).select((F.col("speaker_id") % 6).alias("name"), F.col("t_start_ns").alias("joined_ns"), F.col("t_end_ns").alias("left_ns"))
     return joins.roster_copresence(p, HOUR // 4).withColumn("seconds", F.round("seconds", 3))

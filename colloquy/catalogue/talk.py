@@ -148,11 +148,11 @@ def performance_ring(spark, sf):
     return rollups.performance_stats(event_turns(spark, sf).select("source", F.col("t_start_ns").alias("at_ns"), F.col("value").alias("ms")), ["source"])
 
 
-@query(f"""WITH {EVENTS}, t AS (SELECT speaker_id, count(*) AS segments, sum(t_end_ns - t_start_ns)::BIGINT AS speech_ns FROM ev WHERE id % 97 = 0 GROUP BY ALL)
+@query(f"""WITH {EVENTS}, t AS (SELECT speaker_id * 1000 + day AS speaker_id, count(*) AS segments, sum(t_end_ns - t_start_ns)::BIGINT AS speech_ns FROM ev GROUP BY ALL)
 SELECT speaker_id, segments, speech_ns FROM t WHERE segments <= 1 AND speech_ns <= 3000000000 * 100""")
 def prune_candidates(spark, sf):
-    """Voices with hardly any evidence among marked events, on a scale of a hundredth."""
-    rows = event_turns(spark, sf).where("id % 97 = 0").withColumns({"session_id": F.col("source"), "thread_id": F.col("day"), "t_end_ns": F.col("t_start_ns") + F.expr("(t_end_ns - t_start_ns) div 100")})
+    """Voices (a user on a day) with hardly any evidence, on a scale of a hundredth."""
+    rows = event_turns(spark, sf).withColumn("speaker_id", F.col("speaker_id") * 1000 + F.col("day")).withColumns({"session_id": F.col("source"), "thread_id": F.col("day"), "t_end_ns": F.col("t_start_ns") + F.expr("(t_end_ns - t_start_ns) div 100")})
     return rollups.prune_candidates(rows).select("speaker_id", "segments", (F.col("speech_ns") * 100).alias("speech_ns"))
 
 

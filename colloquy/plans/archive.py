@@ -12,7 +12,7 @@ from .. import retrieval
 from ..core import OperatorError, live, need, resolve_speakers
 from ..functions import vectors as V
 from ..operators import accuracy, graph, joins, lifecycle, rollups, scans, talk
-from .ask import parse
+from .ask import nameable, parse
 
 
 @dataclass
@@ -71,8 +71,8 @@ class Archive:
 
     def ask(self, question: str, now_ns: int, limit: int = 50, tz: str = "UTC", **visible) -> DataFrame:
         """What a question means, searched for; the controls that are set hold where it names nothing. Without vectors, by words alone."""
-        named = [(r.id, r.display_name) for r in self.tables["speakers"].where("display_name IS NOT NULL").select("id", "display_name").limit(10_000).collect()] if "speakers" in self.tables else []
-        worlds = [(r.world_id, r.name) for r in rollups.worlds_list(self.tables["visits"]).where("name IS NOT NULL").select("world_id", "name").limit(10_000).collect()] if "visits" in self.tables else []
+        named = [tuple(r) for r in nameable(self.tables["speakers"].select("id", "display_name"), question).collect()] if "speakers" in self.tables else []
+        worlds = [tuple(r) for r in nameable(rollups.worlds_list(self.tables["visits"]).select("world_id", "name"), question).collect()] if "visits" in self.tables else []
         said = parse(question, now_ns, named, worlds, tz)
         facets = visible | {k: v for k, v in {"speaker": said.speaker_id, "from_ns": said.from_ns, "to_ns": said.to_ns, "world": said.world_id}.items() if v is not None}
         mode = said.mode(self.embed is not None and "vectors" in self.tables)
