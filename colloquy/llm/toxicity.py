@@ -29,6 +29,8 @@ SAMPLE, SAMPLE_BUCKETS = 12_000, 16_000_000
 #: Hash buckets, rank, epochs. The buckets that take part tell labels apart alone or in a pair; documents that a bucket or a pair must have.
 BITS, RANK, EPOCHS, SEED, SUPPORT = 20, 4, 30, 7, 5
 FOLDS = 5
+#: Buckets whose documents are held as bits at a time while pairs are screened (24 MB at ``SAMPLE`` documents).
+BLOCK = 1 << 14
 _TERM = regex.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -102,36 +104,68 @@ def paired(sets: list[np.ndarray], y: np.ndarray, a: np.ndarray, c: np.ndarray)
     a hundred such screenings of all pairs (Chernoff's bound on the binomial tail).
     """
     use = np.flatnonzero((a >= SUPPORT) & (c >= SUPPORT))
-    if len(use) < 2:
+    m = len(use)
+    if m < 2:
+        return use[:0]
+    beyond = np.log(m * (m - 1) / 2 / 0.01)
+    # with k toxic documents the bound is greatest if none is clean, k * -log(q): buckets, then pairs, that cannot reach it go unopened
+    use = use[a[use] * -np.log(a[use] / c[use]) > beyond - 1e-6]
+    share, m, told = a[use] / c[use], len(use), np.zeros(len(use), bool)
+    if m < 2:
         return use[:0]
     place = np.full(len(c), -1, np.int32)
-    place[use] = np.arange(len(use), dtype=np.int32)
-    docs = [p[p >= 0] for p in (place[s] for s in sets)]
-    flat, width = np.concatenate(docs), np.array([len(d) for d in docs])
-    at, m = np.concatenate(([0], np.cumsum(width))), len(use)
-    order = np.argsort(flat, kind="stable").astype(np.int32)
-    owner = np.repeat(np.arange(len(docs), dtype=np.int32), width)[order]
+    place[use] = np.arange(m, dtype=np.int32)
+    first = np.argsort(-y, kind="stable")  # toxic documents first
+    docs = [p[p >= 0] for p in (place[sets[d]] for d in first)]
+    flat = np.concatenate(docs)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])[order]
     edges = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=m))))
-    del order
-    share, beyond, told = a[use] / c[use], np.log(m * (m - 1) / 2 / 0.01), np.zeros(m, bool)
-    for i in range(m):
-        both, toxic = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        has = owner[edges[i] : edges[i + 1]]
-        for lo in range(0, len(has), 1000):  # bounded copies for words that stand in most documents
-            for ids, counts in ((has[lo : lo + 1000], both), (has[lo : lo + 1000][y[has[lo : lo + 1000]] > 0], toxic)):
-                if len(ids):
-                    counts += np.bincount(np.concatenate([flat[at[d] : at[d + 1]] for d in ids]), minlength=m)
-        j = np.flatnonzero(toxic >= SUPPORT)
-        j = j[j > i]
-        k, n, q = toxic[j], both[j], np.maximum(share[i], share[j])
-        f = k / n
-        more = (f > q) & (q < 1)
-        j, k, n, q, f = j[more], k[more], n[more], q[more], f[more]
-        clean = np.where(k < n, (n - k) * np.log(np.maximum(1 - f, 1e-12) / (1 - q)), 0)
-        hit = j[k * np.log(f / q) + clean > beyond]
-        if len(hit):
-            told[i] = True
-            told[hit] = True
+    del place, docs, flat, order
+    toxics = int((y > 0).sum())
+    words, heads = -(-len(y) // 64), -(-toxics // 64)
+    last = np.uint64((1 << (toxics % 64 or 64)) - 1)  # of the last word with toxic documents, their bits
+
+    def bits(lo: int, hi: int) -> np.ndarray:
+        """A bit a document for each bucket from ``lo`` to ``hi``."""
+        out = np.empty((hi - lo, words), np.uint64)
+        for b in range(lo, hi, 1024):
+            e = min(hi, b + 1024)
+            mark = np.zeros((e - b, words * 64), bool)
+            mark[np.repeat(np.arange(e - b), np.diff(edges[b : e + 1])), owner[edges[b] : edges[e]]] = True
+            out[b - lo : e - lo] = np.packbits(mark, axis=1, bitorder="little").view(np.uint64)
+        return out
+
+    def toxic_bits(rows: np.ndarray) -> np.ndarray:
+        found = rows[:, :heads].T.copy()
+        found[-1] &= last
+        return found
+
+    for lo in range(0, m, BLOCK):  # one block of columns in memory, whatever the number of buckets
+        hi = min(m, lo + BLOCK)
+        block = bits(lo, hi)
+        toxic = toxic_bits(block)
+        for i in range(hi - 1):
+            row = block[i - lo : i - lo + 1] if i >= lo else bits(i, i + 1)
+            start = max(i + 1, lo)
+            k = np.bitwise_count(toxic[:, start - lo :] & toxic_bits(row)).sum(0, dtype=np.int32)
+            q = np.maximum(share[i], share[start:hi])
+            j = np.flatnonzero((k >= SUPPORT) & (k * -np.log(q) > beyond - 1e-6))
+            if not len(j):
+                continue
+            k, q = k[j], q[j]
+            j += start
+            n = np.empty(len(j), np.int32)
+            for b in range(0, len(j), 4096):
+                n[b : b + 4096] = np.bitwise_count(block[j[b : b + 4096] - lo] & row).sum(1, dtype=np.int32)
+            f = k / n
+            more = f > q
+            j, k, n, q, f = j[more], k[more], n[more], q[more], f[more]
+            clean = np.where(k < n, (n - k) * np.log(np.maximum(1 - f, 1e-12) / (1 - q)), 0)
+            hit = j[k * np.log(f / q) + clean > beyond]
+            if len(hit):
+                told[i] = True
+                told[hit] = True
     return use[told]
 
 
@@ -172,16 +206,14 @@ def _fit(model: Model, places: list[np.ndarray], y: np.ndarray, epochs: int, see
             idx = np.concatenate(rows) if n.sum() else np.zeros(0, np.int64)
             doc = np.repeat(np.arange(len(ids)), n)
             vi = model.v[idx]
-            s = np.zeros((len(ids), k))
-            np.add.at(s, doc, vi)
+            s = np.stack([np.bincount(doc, weights=vi[:, r], minlength=len(ids)) for r in range(k)], 1)
             q = np.bincount(doc, weights=(vi * vi).sum(1), minlength=len(ids))
             z = model.w0 + np.bincount(doc, weights=model.w[idx], minlength=len(ids)) + 0.5 * ((s * s).sum(1) - q)
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[ids]) / len(ids)
             d0 = e.sum()
             dw = np.bincount(idx, weights=e[doc], minlength=m) + l2 / len(y) * model.w
-            dv = np.zeros((m, k))
-            np.add.at(dv, idx, e[doc, None] * (s[doc] - vi))
-            dv += l2 / len(y) * model.v
+            pull = e[doc, None] * (s[doc] - vi)
+            dv = np.stack([np.bincount(idx, weights=pull[:, r], minlength=m) for r in range(k)], 1) + l2 / len(y) * model.v
             g0 += d0 * d0
             gw += dw * dw
             gv += dv * dv
