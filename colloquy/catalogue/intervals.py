@@ -133,3 +133,16 @@ SELECT x.n AS name, y.n AS other, round(sum(least(x.hi, y.hi) - greatest(x.lo, y
 def roster_copresence(spark, sf):
     p = event_turns(spark, sf).select((F.col("speaker_id") % 6).alias("name"), F.col("t_start_ns").alias("joined_ns"), F.col("t_end_ns").alias("left_ns"))
     return joins.roster_copresence(p, HOUR // 4).withColumn("seconds", F.round("seconds", 3))
+
+
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, epoch_us(l_shipdate) * 1000 AS started_ns, CASE WHEN l_orderkey % 4 = 0 THEN l_suppkey % 7 END AS world_id FROM lineitem
+), v AS (SELECT o_custkey % 50 AS world_id, epoch_us(o_orderdate) * 1000 AS s, CASE WHEN o_orderkey % 1000 <> 0 THEN epoch_us(o_orderdate) * 1000 + 86400000000000 * (1 + o_orderkey % 3) END AS e FROM orders
+), i AS (SELECT started_ns, v.world_id, row_number() OVER (PARTITION BY started_ns ORDER BY s DESC, v.world_id DESC) AS k
+  FROM (SELECT DISTINCT started_ns FROM t WHERE world_id IS NULL) d JOIN v ON s <= started_ns AND (e IS NULL OR e > started_ns))
+SELECT id, t.started_ns, coalesce(t.world_id, i.world_id) AS world_id FROM t LEFT JOIN i ON t.started_ns = i.started_ns AND k = 1""")
+def stamp_worlds(spark, sf):
+    """Shipments as conversations, orders as visits: a world for those that have none."""
+    ns = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000
+    t = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ns("l_shipdate").alias("started_ns"), F.when(F.col("l_orderkey") % 4 == 0, F.col("l_suppkey") % 7).alias("world_id"))
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("world_id"), ns("o_orderdate").alias("t_start_ns"), F.when(F.col("o_orderkey") % 1000 != 0, ns("o_orderdate") + F.lit(86_400_000_000_000) * (1 + F.col("o_orderkey") % 3)).alias("t_end_ns"))
+    return joins.stamp_worlds(t, o, 86_400_000_000_000)

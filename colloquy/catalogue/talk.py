@@ -110,6 +110,22 @@ def worlds_rollup(spark, sf):
     return rollups.worlds_list(o)
 
 
+@query(f"""WITH {EVENTS}, v AS (SELECT o_custkey % 50 AS world_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS world_name, epoch_us(o_orderdate) * 1000 AS t_start_ns FROM orders
+), l AS (SELECT world_id, arg_max(world_name, t_start_ns::VARCHAR || world_name) FILTER (world_name IS NOT NULL) AS name, count(*) AS visits, max(t_start_ns) AS last_ns FROM v GROUP BY world_id
+), t AS (SELECT DISTINCT day AS id, day % 7 AS world_id, CASE day % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'topic ' || (day % 5) END AS topic FROM ev
+), p AS (SELECT world_id, speaker_id, row_number() OVER (PARTITION BY world_id ORDER BY sum(t_end_ns - t_start_ns) DESC, speaker_id) AS k FROM ev JOIN t ON ev.day = t.id GROUP BY world_id, speaker_id
+), c AS (SELECT world_id, topic, row_number() OVER (PARTITION BY world_id ORDER BY count(*) DESC, topic) AS k FROM t WHERE trim(topic) <> '' GROUP BY world_id, topic)
+SELECT l.*, coalesce((SELECT string_agg(speaker_id, ',' ORDER BY k) FROM p WHERE p.world_id = l.world_id AND k <= 5), '') AS people, coalesce((SELECT string_agg(topic, ',' ORDER BY k) FROM c WHERE c.world_id = l.world_id AND k <= 2), '') AS topics FROM l""")
+def worlds_page(spark, sf):
+    """Orders as visits, days of events as conversations: worlds with those heard most there and what they talk about."""
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("world_id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("world_name"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("t_start_ns"))
+    e = event_turns(spark, sf).withColumnRenamed("day", "thread_id")
+    day = F.col("thread_id")
+    topic = F.when(day % 5 == 1, " ").when(day % 5 > 1, F.concat(F.lit("topic "), (day % 5).cast("string")))
+    threads = e.select("thread_id").distinct().select(day.alias("id"), (day % 7).alias("world_id"), topic.alias("topic"))
+    return rollups.worlds_page(o, threads, e, 5, 2).withColumns({"people": F.array_join(F.transform("people", lambda x: x.cast("string")), ","), "topics": F.array_join("topics", ",")})
+
+
 @query("""WITH t AS (SELECT lang || '/' || source AS topic, doc_id AS id, n_chars AS segments, doc_id * 1000 AS ended_ns FROM documents
 ), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ended_ns DESC, id DESC) AS k FROM t)
 SELECT topic, count(*) AS threads, sum(segments)::BIGINT AS segments, max(ended_ns) AS last_ns, string_agg(CASE WHEN k <= 5 THEN id::VARCHAR END, ',' ORDER BY k) AS thread_ids FROM r GROUP BY topic""")

@@ -29,6 +29,33 @@ def worlds_list(visits: DataFrame) -> DataFrame:
     return visits.groupBy("world_id").agg(F.max_by("world_name", F.when(F.col("world_name").isNotNull(), F.struct("t_start_ns", "world_name"))).alias("name"), F.count(F.lit(1)).alias("visits"), F.max("t_start_ns").alias("last_ns"))
 
 
+def world_people(threads: DataFrame, turns: DataFrame, limit: int = 5) -> DataFrame:
+    """world_id, speaker_id, spoke_ns, place: the voices heard most in each world, ties to the smaller id.
+
+    Speech is summed by conversation first, so a world with most of the turns joins sums, not turns.
+    """
+    spoke = turns.where("speaker_id IS NOT NULL").groupBy("thread_id", "speaker_id").agg(F.sum(F.col("t_end_ns") - F.col("t_start_ns")).alias("ns"))
+    per = spoke.join(threads.where("world_id IS NOT NULL").select(F.col("id").alias("thread_id"), "world_id"), "thread_id").groupBy("world_id", "speaker_id").agg(F.sum("ns").alias("spoke_ns"))
+    return top_per_group(per, ["world_id"], [F.col("spoke_ns").desc(), F.col("speaker_id")], limit)
+
+
+def world_topics(threads: DataFrame, limit: int = 5) -> DataFrame:
+    """world_id, topic, threads, place: what is talked about most in each world; blank topics don't count, ties by name."""
+    per = threads.where("world_id IS NOT NULL AND trim(topic) <> ''").groupBy("world_id", "topic").agg(F.count(F.lit(1)).alias("threads"))
+    return top_per_group(per, ["world_id"], [F.col("threads").desc(), F.col("topic")], limit)
+
+
+def worlds_page(visits: DataFrame, threads: DataFrame, turns: DataFrame, people: int = 5, topics: int = 5) -> DataFrame:
+    """``worlds_list`` with ``people`` (ids) and ``topics``, the first first; empty where nothing was heard. ``turns`` are live, their voices resolved."""
+
+    def listed(rows: DataFrame, what: str, name: str) -> DataFrame:
+        return rows.groupBy("world_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", what))), lambda x: x[what]).alias(name))
+
+    out = worlds_list(visits).join(listed(world_people(threads, turns, people), "speaker_id", "people"), "world_id", "left")
+    out = out.join(listed(world_topics(threads, topics), "topic", "topics"), "world_id", "left")
+    return out.withColumns({"people": F.coalesce("people", F.array().cast("array<bigint>")), "topics": F.coalesce("topics", F.array().cast("array<string>"))})
+
+
 def person_worlds(threads: DataFrame, turns: DataFrame, visits: DataFrame, limit: int = 8) -> DataFrame:
     """speaker_id, world_id, visits, last_ns, together_ns: where each voice's conversations were, longest first.
 

@@ -609,3 +609,26 @@ def test_gap_causes(spark):
     df = spark.createDataFrame(rows, "f boolean, e long, x long, s long, t long, w string")
     got = df.select("w", rollups.classify_gap(*(F.col(c) for c in "fexst")).alias("g")).collect()
     assert all(r.g == r.w for r in got) and {r.g for r in got} == set(rollups.GAP_CAUSES)
+
+
+def test_stamp_worlds_by_the_last_visit_that_is_on(spark):
+    visits = spark.createDataFrame([("a", 0, 100), ("b", 20, 30), ("c", 150, None), ("d", 150, None), ("e", 200, 210), ("f", 60, 60), (None, 5, 90), ("g", None, 9)], "world_id string, t_start_ns long, t_end_ns long")
+    at = {1: 0, 2: 25, 3: 30, 4: 99, 5: 100, 6: 150, 7: 205, 8: 210, 9: -1, 10: 5000, 11: None, 12: 60}
+    threads = spark.createDataFrame([(i, t, None, i) for i, t in at.items()] + [(13, 25, "kept", 0), (2, 25, None, 2)], "id long, started_ns long, world_id string, __b long")
+    # nested visits end, ends are exclusive, open ones stay on behind shorter ones, ties go to the greatest world
+    want = {1: "a", 2: "b", 3: "a", 4: "a", 5: None, 6: "d", 7: "e", 8: "d", 9: None, 10: "d", 11: None, 12: "a", 13: "kept"}
+    for bucket in (7, 1000):
+        got = joins.stamp_worlds(threads, visits, bucket)
+        assert got.columns == threads.columns
+        rows = got.collect()
+        assert len(rows) == 14 and {r.id: r.world_id for r in rows} == want
+    assert joins.stamp_worlds(threads.limit(0), visits).count() == 0
+    assert {r.world_id for r in joins.stamp_worlds(threads, visits.limit(0)).collect()} == {None, "kept"}
+
+
+def test_worlds_page_lists_who_is_heard_and_what_of(spark):
+    visits = spark.createDataFrame([("w", "Hall", 5), ("w", None, 9), ("x", "Quay", 1)], "world_id string, world_name string, t_start_ns long")
+    threads = spark.createDataFrame([(1, "w", "boats"), (2, "w", "apples"), (3, "w", "boats"), (4, None, "no"), (5, "w", " ")], "id long, world_id string, topic string")
+    turns = spark.createDataFrame([(1, 7, 0, 10), (2, 8, 0, 10), (3, 9, 0, 30), (4, 6, 0, 99), (5, None, 0, 99)], "thread_id long, speaker_id long, t_start_ns long, t_end_ns long")
+    got = {r.world_id: (r.name, r.visits, r.last_ns, r.people, r.topics) for r in rollups.worlds_page(visits, threads, turns, 2, 2).collect()}
+    assert got == {"w": ("Hall", 2, 9, [9, 7], ["boats", "apples"]), "x": ("Quay", 1, 1, [], [])}
