@@ -1,7 +1,7 @@
 """Rules that fold over time: voice activity, turn merging, threads, flaps, cuts.
 
 Each rule is a plain Python fold over one group in time order (tested as such);
-``folded`` runs it a group at a time on executors. The keys must bound a group: a
+``folded`` runs it over all groups of a task, one after the other, on executors. The keys must bound a group: a
 session's turns, a stream's frames of a day.
 """
 
@@ -11,29 +11,66 @@ from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string as parsed
 
 from ..core import NS
 
+#: Rows a batch of results.
+_OUT_ROWS = 10_000
+
+
+def _plain(column: pa.Array) -> list:
+    """Values of a column; what is not a number is null."""
+    return column.to_pylist() if not pa.types.is_floating(column.type) else pc.if_else(pc.is_nan(column), None, column).to_pylist()
+
 
 def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[list[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """``fn`` over the rows of each key in order; it gives rows of ``schema`` (without the keys)."""
+    """``fn`` over the rows of each key in order; it gives rows of ``schema`` (without the keys).
+
+    Rows are dealt by key and sorted; a task walks through all its keys in one
+    stream, so many small groups cost rows, not calls, and one group is held at a time.
+    """
     kinds = dict(df.dtypes)
-    whole = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        rows = list(fn(pdf.astype(object).where(pdf.notna(), None).to_dict("records")))
-        out = pd.DataFrame(rows, columns=names)
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return df.groupBy(*keys).applyInPandas(run, whole)
+    names = [*keys, *(part.split()[0] for part in schema.split(", "))]
+    whole = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + schema
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *(F.col(c).asc_nulls_last() for c in order))
+    out_schema = to_arrow_schema(parsed(whole))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+        key, held = None, []
+        for b in batches:
+            columns = [_plain(c) for c in b.columns]
+            of = list(zip(*(columns[b.schema.names.index(k)] for k in keys), strict=True))
+            for k, values in zip(of, zip(*columns, strict=True), strict=True):
+                if held and k != key:
+                    yield key, held
+                    held = []
+                key = k
+                held.append(dict(zip(b.schema.names, values, strict=True)))
+        if held:
+            yield key, held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, held in groups(batches):
+            for r in fn(held):
+                out.append((*key, *map(r.get, names[len(key) :])))
+                if len(out) >= _OUT_ROWS:
+                    yield _batch(out)
+                    out = []
+        if out:
+            yield _batch(out)
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), out_schema, strict=True)], names=names)
+
+    return rows.mapInArrow(run, whole)
 
 
 # ---- voice activity ----------------------------------------------------------
