@@ -9,6 +9,7 @@ from .base import EVENTS, HOUR, event_turns, query, r6, table, turns
 
 # Spans: a user's event opens one that lasts until the next event, a quarter of an hour at most. Turns: every event, of up to twenty minutes.
 _CAP, _STEP = HOUR // 4, HOUR // 12
+_WIDTH = 4 * _STEP
 _SPANS = f"""{EVENTS}, sp AS (
   SELECT speaker_id % 20 AS user_id, 'u' || (speaker_id % 40) AS name, t_start_ns AS s_start, least(t_start_ns + {_CAP}, coalesce(lead(t_start_ns) OVER (PARTITION BY speaker_id ORDER BY t_start_ns), t_start_ns + {_CAP})) AS s_end FROM ev
 ), tu AS (SELECT id, t_start_ns, t_start_ns + (id % 5) * {_STEP} AS t_end_ns FROM ev
@@ -19,6 +20,11 @@ _SPANS = f"""{EVENTS}, sp AS (
 ), cov AS (SELECT id, user_id, sum(hi - lo) / any_value(b - a) AS frac FROM u GROUP BY id, user_id)"""
 
 
+def _rounded(c, digits):
+    """Rounded as the SQL's engine does it: the number times the power of ten, to the nearest whole, halves away from zero."""
+    return F.round(F.col(c) * 10.0**digits) / 10.0**digits
+
+
 def _spans(spark, sf):
     from pyspark.sql import Window as W
 
@@ -72,7 +78,7 @@ def verdict_table(spark, sf):
 SELECT id, round(coalesce(sum(until - t) FILTER (depth >= 2), 0) / any_value(b - a), 6) AS frac FROM dp GROUP BY id""")
 def simultaneous_frac(spark, sf):
     rows, spans = _spans(spark, sf)
-    return truth.simultaneous(truth.clipped(rows, spans, _CAP)).withColumn("frac", r6("frac"))
+    return truth.summed(rows, spans, _WIDTH).select("id", _rounded("at_once", 6).alias("frac"))
 
 
 @query(f"""WITH {EVENTS}, k AS (SELECT speaker_id % 30 AS user_id, CASE source WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 END AS label, count(*) AS n FROM ev GROUP BY ALL
