@@ -59,7 +59,7 @@ def asof_visit(spark, sf):
 @query(f"WITH {_SPANS}, nm AS (SELECT id, user_id, arg_max(name, s_start) AS name FROM cut GROUP BY ALL) SELECT id, user_id, name, round(frac, 9) AS frac FROM cov JOIN nm USING (id, user_id)")
 def interval_coverage(spark, sf):
     rows, spans = _spans(spark, sf)
-    return truth.coverage(truth.clipped(rows, spans, _CAP)).withColumn("frac", F.round("frac", 9))
+    return truth.covered(rows, spans, _WIDTH).withColumn("frac", _rounded("frac", 9))
 
 
 @query(f"""WITH {_SPANS}, p AS (SELECT id, count(*) AS n, max(user_id) AS u, max(frac) AS f FROM cov WHERE frac >= 0.2 GROUP BY id
