@@ -7,8 +7,8 @@ into the chunk's word list, most frequent first. The lists are dealt out by the
 hash of the word, so that a word crosses the shuffle once a chunk, not once an
 occurrence ("the" in a third of all tokens is one entry a chunk), and all chunks'
 entries of one word meet in one partition, which encodes it once. Its ids go back
-to the chunks, which are bucketed and so stay where they are. Decoding joins the token ids that a chunk has with the token-byte
-table and puts the bytes together by position.
+to the chunks, which are bucketed and so stay where they are. Decoding looks the ids up in the vocabulary, which
+every task has by broadcast, and puts the bytes together by position; ``decode``, for ids alone, joins them with the token-byte table.
 """
 
 from __future__ import annotations
@@ -141,23 +141,22 @@ def _encoded(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iter
     for b in batches:
         parts, chunks = b.column(0), b.column(1)
         for i in range(b.num_rows):
-            out, used = [], set()
+            out = []
             for w in unpack_list(b.column(2)[i].as_py()):
                 ids = known.get(w)
                 if ids is None:
                     known[w] = ids = np.array(piece(w.decode()), "<u4").tobytes()
                 out.append(ids)
-            used = np.unique(np.frombuffer(b"".join(out), "<u4")).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([parts.slice(i, 1), chunks.slice(i, 1), pa.array([pack_list(out)], pa.binary()), pa.array([used], pa.list_(pa.int32()))], ["part", "chunk", "token_ids", "used"])
+            yield pa.RecordBatch.from_arrays([parts.slice(i, 1), chunks.slice(i, 1), pa.array([pack_list(out)], pa.binary())], ["part", "chunk", "token_ids"])
 
 
-def _unpack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(id, token_ids, decoded) of a chunk's documents from its codes, its words' ids (parts > 0; else the codes are ids) and its tokens' bytes."""
+def _unpack(batches: Iterator[pa.RecordBatch], parts: int, vocabulary: dict[int, bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """(id, token_ids, decoded) of a chunk's documents from its codes, its words' ids (parts > 0; else the codes are ids) and the tokens' bytes: all, or the chunk's own."""
     for b in batches:
         for i in range(b.num_rows):
             row = {n: b.column(k)[i] for k, n in enumerate(b.schema.names)}
             ids, lens, codes = row["ids"].as_py(), unpack_numbers(row["lens"].as_py()), unpack_numbers(row["codes"].as_py())
-            tokens = dict(zip(*(row["tokens"].values.field(k).to_pylist() for k in (0, 1)), strict=True)) if row["tokens"].is_valid else {}
+            tokens = vocabulary if vocabulary is not None else dict(zip(*(row["tokens"].values.field(k).to_pylist() for k in (0, 1)), strict=True)) if row["tokens"].is_valid else {}
             if parts:
                 part = _parts(unpack_list(row["words"].as_py()), parts)
                 at = np.argsort(part, kind="stable").tolist()
@@ -214,7 +213,8 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
     ranks = load_ranks(vocab_path)
     held = spark.sparkContext.broadcast(ranks)  # the vocabulary: 50 thousand entries
     rows = binary_text(docs, [F.col(id_col).cast("long").alias("id")], text_col)
-    chunks = scratch.bucketed(map_batches(rows, _pack, _CHUNK, pattern, chunk_bytes), "chunk", _buckets(rows))
+    buckets = _buckets(rows)
+    chunks = scratch.bucketed(map_batches(rows, _pack, _CHUNK, pattern, chunk_bytes), "chunk", buckets)
     parts = 1 + (chunks.agg(F.sum("n_words")).first()[0] or 0) // part_words
     parts = max(parts, 8)
 
@@ -222,11 +222,16 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
         return trimmed(_encoded(batches, held.value))
 
     dealt = map_batches(chunks.select("chunk", "words"), _dealt, "part int, chunk long, words binary", parts).repartition(parts, "part")
-    coded = scratch.table(dealt.mapInArrow(run, "part int, chunk long, token_ids binary, used array<int>"), "encoded")
-    back = coded.groupBy("chunk").agg(F.collect_list(F.struct("part", "token_ids")).alias("dealt"))
-    tokens = _token_bytes(coded, token_byte_table(spark, ranks))
-    whole = chunks.select("chunk", "ids", "lens", "codes", "words").join(back, "chunk", "left").join(tokens, "chunk", "left")
-    return map_batches(whole, _unpack, _OUT, parts)
+    # no scratch table: the ids are on disk once, as what the shuffle back to the chunks holds
+    coded = dealt.mapInArrow(run, "part int, chunk long, token_ids binary")
+    # dealt as the chunks are bucketed: with fewer buckets than shuffle partitions, the join would else shuffle the chunks too
+    back = coded.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "token_ids")).alias("dealt"))
+    whole = chunks.select("chunk", "ids", "lens", "codes", "words").join(back, "chunk", "left")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(_unpack(batches, parts, {i: t for t, i in held.value.items()}))
+
+    return whole.mapInArrow(unpack, _OUT)
 
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -648,3 +648,23 @@ def test_empty_tables(docs):
     none, (path, pattern) = docs.limit(0), queries.vocabulary()
     for df in (pii.detect(none), jaccard.groups(none), mixing.mix(none), quality_rules.judge(none), media.digests(none), bpe.digests(bpe.encode_decode(none, path, pattern)), token_counts.attribute(none, path, pattern), pii.sanitise(none), jaccard.keep_one(none), mixing.mixed_documents(none)):
         assert df.count() == 0
+
+
+def test_bpe_chunks_are_not_shuffled_however_few_their_buckets(spark):
+    """The packed chunks are most of the bytes: they stay in their buckets, and only word lists and ids are dealt."""
+    import public_tokenizers
+
+    from colloquy.llm import bpe
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "51")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(1, "some words, some words"), (2, None)], "doc_id long, text string")
+        out = bpe.encode_decode(docs, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2, plan
+        assert {r.id: bytes(r.decoded) for r in out.collect()} == {1: b"some words, some words", 2: b""}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
