@@ -19,6 +19,15 @@ def test_query_says_what_its_sql_says(spark, con, name):
     assert difference(catalogue.queries()[name](spark, SF), con, catalogue.oracle_sql()[name]) is None
 
 
+def test_person_stats_of_texts_that_outlast_their_turn(spark, con, tmp_path):
+    """A turn is 2,000 characters on the clock that the SQL makes up; the turn after a longer one is not an interruption there."""
+    rows = [(1, 0, "user", "x" * 300), (1, 1, "assistant", "y" * 2_900), (1, 2, "user", "z" * 40), (1, 3, "assistant", ""), (2, 0, "system", "s" * 5_000), (2, 1, "user", "x" * 4_100), (2, 2, "assistant", "y" * 10)]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path)
+    sql = f"WITH conversations AS (FROM '{path}/*.parquet') SELECT * FROM ({catalogue.oracle_sql()['person_stats']})"
+    assert difference(catalogue.queries()["person_stats"](spark, str(tmp_path)), con, sql) is None
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(NAMES)))
 def test_query_without_sql_runs_and_repeats(spark, name):
     q = catalogue.queries()[name]
