@@ -3,9 +3,10 @@
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i: the
 document has a term (a word or the beginning of one) hashed to bucket i. The pair term, over low-rank vectors,
 learns interactions such as an insult with the mention of a group, which an
-additive linear model of terms misses. The model is fitted with numpy on the
-driver from a bounded sample of labelled documents (``SAMPLE``, documented
-here); scoring reads every whole document.
+additive linear model of terms misses. The model is fitted with numpy in one
+task, so that only the fitted model comes to the driver, from a bounded sample
+of labelled documents (``SAMPLE``, documented here); scoring reads every whole
+document.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_text, chunked, map_batches, packed, trim, trimmed, unpacked
+from .common import Scratch, binary_text, chunked, map_batches, packed, trimmed, unpacked
 
-#: Labelled documents to fit on at most: those with the smallest hashes of their ids; the distinct buckets of all of them together at most (64 MB on the driver).
+#: Labelled documents to fit on at most: those with the smallest hashes of their ids; the distinct buckets of all of them together at most (64 MB in the task that fits).
 SAMPLE, SAMPLE_BUCKETS = 12_000, 16_000_000
 #: Hash buckets, rank, epochs. The buckets that take part tell labels apart alone or in a pair; documents that a bucket or a pair must have.
 BITS, RANK, EPOCHS, SEED, SUPPORT = 20, 4, 30, 7, 5
@@ -222,6 +223,16 @@ def _fit(model: Model, places: list[np.ndarray], y: np.ndarray, epochs: int, see
             model.v -= rate * dv / np.sqrt(gv)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.RecordBatch]:
+    """The parts of the model of all rows (toxic, buckets) of the task, as one row."""
+    rows: list[tuple[int, bytes]] = []
+    for b in batches:
+        rows.extend(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    m = train(sorted(rows), **options)
+    parts = [m.bits], [m.active.tobytes()], [m.w0], [m.w.tobytes()], [m.v.tobytes()], [m.v.shape[1]]
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int32(), pa.binary(), pa.float64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["bits", "active", "w0", "w", "v", "rank"])
+
+
 def fold(doc_id: F.Column) -> F.Column:
     """crc32 of the id as text, modulo the number of folds; fold 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
@@ -245,13 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = F.octet_length("buckets").cast("long")
     key = table.select("id", F.xxhash64("id").alias("o"), size.alias("n")).groupBy("o", "id").agg(F.sum("n").alias("n"))
     within = key.withColumn("upto", F.sum("n").over(W.orderBy("o", "id").rowsBetween(W.unboundedPreceding, 0))).where(F.col("upto") <= 4 * SAMPLE_BUCKETS).select("id")
-    # as one Arrow table: no objects a row in either process
-    got = table.join(F.broadcast(within), "id").select("toxic", "buckets").toArrow()
-    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    del got
-    model = train(rows, **options)
-    del rows
-    trim()
+    # fitted where the rows are: neither they nor what the fit holds come to the driver, which has other work's memory to keep
+    sampled = table.join(F.broadcast(within), "id").select("toxic", "buckets").coalesce(1)
+    found = map_batches(sampled, _fitted, "bits int, active binary, w0 double, w binary, v binary, rank int", options).collect()
+    model = Model(m.bits, np.frombuffer(m.active, np.uint32), m.w0, np.frombuffer(m.w, np.float64), np.frombuffer(m.v, np.float64).reshape(-1, m.rank)) if (m := next(iter(found), None)) else train([], **options)  # Spark leaves out a task over nothing
     scratch.drop(table)
     return model
 

@@ -475,6 +475,20 @@ def test_toxicity_scores_by_formula(docs, odd, spark):
     assert toxicity.keep_clean(odd.limit(0), model).count() == 0 and toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_is_fitted_in_a_task(docs, spark, monkeypatch):
+    """The driver gets the fitted model alone, not the rows: the fit's memory isn't the driver's."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    of = toxicity._Buckets(toxicity.BITS)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = [(r.toxic, of.of(toxicity.terms(texts[r.doc_id])).tobytes()) for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert 0 < len(rows) <= toxicity.SAMPLE
+    want = toxicity.train(sorted(rows))
+    here, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, **options: here.append(len(rows)) or train(rows, **options))
+    got = toxicity.fit(docs, labels)
+    assert not here and len(want.active) and all(np.array_equal(a, b) for a, b in zip(got.parts(), want.parts(), strict=True))
+
+
 def test_toxicity_odd(odd, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(odd, toxicity.fit(odd, none)).collect()
